@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, exact_dedup, url_filter
-from .common import table
+from . import chat_format, decontam, exact_dedup, lang_id, tokens, training_order, url_filter
+from .common import Scratch, table
 
 URL_RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -19,6 +19,24 @@ URL_RULES = [
 ]
 
 
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_codec() -> tuple[str, str]:
+    import public_tokenizers
+
+    return tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark, table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -113,12 +131,26 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.do
 """
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = training_order.materialise(spark, docs, Scratch(spark, "shards").base, byte_codec())
+    first = F.get("spans", F.lit(0))
+    return index.select("slot", "shard", "row", "byte_offset", "n_tokens", "n_docs", first["doc_id"].alias("first_doc_id"), "ids_sha256")
+
+
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op3_url_filter": op3_url_filter,
+        "op4_training_order": op4_training_order,
         "op5_chat_format": op5_chat_format,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_decontamination": op9_decontamination,
+        "op10_lang_id": op10_lang_id,
     }
 
 
