@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, exact_dedup, lang_id, tokens, training_order, url_filter
+from . import chat_format, decontam, exact_dedup, lang_id, near_dedup, tokens, training_order, url_filter
 from .common import Scratch, table
 
 URL_RULES = [
@@ -37,6 +37,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark, table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -145,6 +149,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_near_dedup": op2_near_dedup,
         "op3_url_filter": op3_url_filter,
         "op4_training_order": op4_training_order,
         "op5_chat_format": op5_chat_format,
