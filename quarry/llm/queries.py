@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, exact_dedup, lang_id, near_dedup, tokens, training_order, url_filter
+from . import chat_format, decontam, exact_dedup, lang_id, license_scan, mixing, near_dedup, tokens, training_order, url_filter
 from .common import Scratch, table
 
 URL_RULES = [
@@ -142,6 +142,15 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("slot", "shard", "row", "byte_offset", "n_tokens", "n_docs", first["doc_id"].alias("first_doc_id"), "ids_sha256")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "license", "start_char", "end_char", F.round("reduction", 4).alias("reduction"), "n_diff", "differences")
+
+
 def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -154,6 +163,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_training_order": op4_training_order,
         "op5_chat_format": op5_chat_format,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_mixing": op7_mixing,
+        "op8_license_scan": op8_license_scan,
         "op9_decontamination": op9_decontamination,
         "op10_lang_id": op10_lang_id,
     }
