@@ -7,7 +7,8 @@ slot needs a look at any other. Slots are dealt to tasks by range and each task
 s % rows_per_shard of shard s // rows_per_shard, and row r begins at byte r * seq_len * 2. A reader can start at
 any slot and read on.
 
-Encoded sequences are kept compressed in the shared folder, and shards are written under another name and then
+Encoded sequences are kept compressed in the shared folder, against a dictionary of the ids of at most DICT_DOCS
+documents' beginnings (compression is lossless whatever the dictionary), and shards are written under another name and then
 renamed, so a lost executor costs only its tasks.
 """
 
@@ -26,6 +27,7 @@ from .common import Scratch
 from .tokens import ByteCodec
 
 ROUNDS = 6
+DICT_DOCS, DICT_CHARS, DICT_BYTES = 64, 4096, 1 << 16
 SPAN = "array<struct<doc_id:{kind},doc_from:bigint,seq_from:int,n:int>>"
 
 
@@ -62,14 +64,27 @@ def permute(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarr
     return out.astype(np.int64)
 
 
-def encode_sequences(docs: DataFrame, codec_args: tuple[str, str], seq_len: int, id_col: str, text_col: str) -> DataFrame:
+def sample_dictionary(docs: DataFrame, codec_args: tuple[str, str], text_col: str) -> bytes:
+    some = docs.where(F.col(text_col).isNotNull()).select(F.substring(F.col(text_col), 1, DICT_CHARS).alias("t")).limit(DICT_DOCS).collect()
+    codec = ByteCodec(*codec_args)
+    return b"".join(codec.ids(r["t"]) for r in some)[:DICT_BYTES]
+
+
+def _raw_dict(dictionary: bytes):
+    import zstandard
+
+    # The format wants eight bytes at least.
+    return zstandard.ZstdCompressionDict(dictionary.ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def encode_sequences(docs: DataFrame, codec_args: tuple[str, str], dictionary: bytes, seq_len: int, id_col: str, text_col: str) -> DataFrame:
     """(part, idx, n_tokens, payload, spans): sequences of each task, payload being zstandard-compressed uint16 ids."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        codec, press = ByteCodec(*codec_args), zstandard.ZstdCompressor(level=1)
+        codec, press = ByteCodec(*codec_args), zstandard.ZstdCompressor(level=5, dict_data=_raw_dict(dictionary))
         part, width = TaskContext.get().partitionId(), 2 * seq_len
         eot = codec.eot.to_bytes(2, "little")
         held, spans, idx = bytearray(), [], 0
@@ -118,7 +133,8 @@ def materialise(spark: SparkSession, docs: DataFrame, out_dir: str, codec_args:
     written each; null ids stay null in spans. An empty table writes no shard. Other columns are ignored.
     """
     scratch = Scratch(spark, "training-order")
-    seqs = scratch.keep(encode_sequences(docs, codec_args, seq_len, id_col, text_col), "sequences")
+    dictionary = sample_dictionary(docs, codec_args, text_col)
+    seqs = scratch.keep(encode_sequences(docs, codec_args, dictionary, seq_len, id_col, text_col), "sequences")
     # As many rows as tasks, whatever the number of documents.
     sizes = {r["part"]: r["n"] for r in seqs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(sizes.values())
@@ -146,7 +162,7 @@ def materialise(spark: SparkSession, docs: DataFrame, out_dir: str, codec_args:
 
         store, top = fs.FileSystem.from_uri(out_dir)
         store.create_dir(top, recursive=True)
-        unpress, width = zstandard.ZstdDecompressor(), 2 * seq_len
+        unpress, width = zstandard.ZstdDecompressor(dict_data=_raw_dict(dictionary)), 2 * seq_len
         eot = codec_eot.to_bytes(2, "little")
         shard, out, tmp = -1, None, ""
         attempt = TaskContext.get().taskAttemptId()
