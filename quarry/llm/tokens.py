@@ -182,7 +182,6 @@ class ByteCodec:
         if self.eot >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -196,20 +195,7 @@ class ByteCodec:
         return out
 
     def ids(self, text: str) -> bytes:
-        """Ids of one text without the end mark. Pieces begin at a space that follows a non-space, which is where a
-        pre-token always begins; texts with other runs of white space before a space are encoded whole."""
+        """Ids of one text without the end mark."""
         if len(text) > CHUNK:
             return encode_long(self, text).astype("<u2").tobytes()
-        if RUN_THEN_SPACE.search(text):
-            return np.array(self.library.encode_ordinary(text), "<u2").tobytes()
-        first, *rest = text.split(" ")
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        for p in rest:
-            if p not in memo:
-                memo[p] = np.array(self.library.encode_ordinary(" " + p), "<u2").tobytes()
-        return np.array(self.library.encode_ordinary(first), "<u2").tobytes() + b"".join(map(memo.__getitem__, rest))
-
-
-RUN_THEN_SPACE = re.compile(r"\s |^ ")
+        return np.array(self.library.encode_ordinary(text), "<u2").tobytes()
