@@ -140,8 +140,9 @@ def signature(text: Column) -> Column:
 
 
 def short_number(n: Column) -> Column:
-    """1234 as 1.2K, 1234567 as 1.2M."""
-    return (F.when(F.abs(n) >= 1_000_000, F.format_string("%.1fM", n / F.lit(1e6))).when(F.abs(n) >= 1_000, F.format_string("%.1fK", n / F.lit(1e3)))
+    """1234 as 1.2K, 1234567 as 1.2M; halves by the exact binary value, to even."""
+    one = lambda x: F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+    return (F.when(F.abs(n) >= 1_000_000, F.concat(one(n / F.lit(1e6)), F.lit("M"))).when(F.abs(n) >= 1_000, F.concat(one(n / F.lit(1e3)), F.lit("K")))
             .otherwise(n.cast("string")))
 
 

@@ -52,7 +52,7 @@ def enclosing(points: DataFrame, spans: DataFrame, point_id: str, group: str, at
     Innermost: the latest start; of equal starts the largest span id. slack widens spans at their end.
     """
     s = spans.select(F.col(group).alias("_g"), F.col(span[0]).alias("_s"), F.col(span[1]).alias("_e"), F.col(span_id).alias("_id"))
-    inside = (F.col(group) == F.col("_g")) & (F.col("_s") <= F.col(at[0])) & (F.col("_e") + F.lit(slack) >= F.col(at[1]))
+    inside = (F.col(group) == F.col("_g")) & (F.col("_s") <= F.col(at[0])) & ((F.col("_e") + F.lit(slack) if slack else F.col("_e")) >= F.col(at[1]))
     best = points.join(s, inside).groupBy(point_id).agg(F.max_by("_id", F.struct("_s", "_id")).alias("enclosing"))
     return points.join(best, point_id, "left")
 
