@@ -74,7 +74,7 @@ class Network:
         h = HIDDEN
         table, u = self.w[f"x{d}"], self.w[f"u{d}"]
         n, steps = x.shape
-        state, states, saved = np.zeros((n, h), np.float32), np.empty((steps, n, h), np.float32), []
+        state, states, saved = np.zeros((n, h), u.dtype), np.empty((steps, n, h), u.dtype), []
         for t in range(steps):
             a, b = table[x[:, t]], state @ u
             gates = _sigmoid(a[:, :2 * h] + b[:, :2 * h])
@@ -186,9 +186,8 @@ def sample_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     if not sizes:
         return {}
     scale = 1_000_000
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(-(-scale * min(n, DOCS_A_LANG) // n))).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, -(-scale * min(n, DOCS_A_LANG) // n))])
+    share = F.element_at(shares, F.col(lang_col))
     chosen = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(scale)) < share)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +203,8 @@ def sample_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     return out
 
 
-def predict(spark: SparkSession, docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added."""
+def predict(spark: SparkSession, docs: DataFrame, net: Network | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """docs with the prediction and its score added, by names that docs must not have."""
     kept = docs.columns
     shared = spark.sparkContext.broadcast(net)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -247,9 +246,9 @@ def predict(spark: SparkSession, docs: DataFrame, net: Network | None, id_col: s
                         held = 0
             if waiting:
                 flush()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, lang_out, score_out])
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{lang_out}` string, `{score_out}` double")
 
 
 def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -263,5 +262,5 @@ def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     net = train(words) if any(words.values()) else None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The text must not come back from Python: predict on rows, then keep what is asked for.
-    return predict(spark, rows, net, "id", "text").select(
+    return predict(spark, rows, net).select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")

@@ -84,20 +84,21 @@ class Plan:
         self.sources, self.n_sources, self.exponent, self.key, self.id_col, self.source_col = sources, n_sources, exponent, key, id_col, source_col
 
     def copies(self, docs: DataFrame) -> DataFrame:
-        """docs with `mix_copies`, the number of times that each row is taken."""
-        at = self.sources.select(F.col("source").alias("mix_source"), *[F.col(c).alias(f"mix_{c}") for c in ("passes", "blocks", "cut_block", "cut_doc")])
+        """docs with `__mix_copies`, the number of times that each row is taken."""
+        # Names that no table has.
+        at = self.sources.select(F.col("source").alias("__mix_source"), *[F.col(c).alias(f"__mix_{c}") for c in ("passes", "blocks", "cut_block", "cut_doc")])
         at = F.broadcast(at) if self.n_sources <= BROADCAST_ROWS else at
         own, doc = docs[self.source_col].cast("string"), _hash(docs[self.id_col], self.key)
-        block = _block_hash(own, F.pmod(doc, F.col("mix_blocks")), self.key)
-        part = (block < F.col("mix_cut_block")) | ((block == F.col("mix_cut_block")) & (doc <= F.col("mix_cut_doc")))
-        found = docs.join(at, own.eqNullSafe(at["mix_source"]), "left")
-        n = (F.col("mix_passes") + F.coalesce(part, F.lit(False)).cast("bigint")).alias("mix_copies")
-        return found.select(*[docs[c] for c in docs.columns], F.coalesce(n, F.lit(0)).alias("mix_copies"))
+        block = _block_hash(own, F.pmod(doc, F.col("__mix_blocks")), self.key)
+        part = (block < F.col("__mix_cut_block")) | ((block == F.col("__mix_cut_block")) & (doc <= F.col("__mix_cut_doc")))
+        found = docs.join(at, own.eqNullSafe(at["__mix_source"]), "left")
+        n = F.col("__mix_passes") + F.coalesce(part, F.lit(False)).cast("bigint")
+        return found.select(*[docs[c] for c in docs.columns], F.coalesce(n, F.lit(0)).alias("__mix_copies"))
 
     def realise(self, docs: DataFrame) -> DataFrame:
         """docs with each row as often as the mix takes it; columns as they were."""
-        taken = self.copies(docs).where("mix_copies > 0")
-        return taken.withColumn("mix_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "mix_copies"))).drop("mix_copies")
+        taken = self.copies(docs).where("__mix_copies > 0")
+        return taken.withColumn("__mix_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "__mix_copies"))).drop("__mix_copies")
 
 
 def plan_mix(spark: SparkSession, docs: DataFrame, budget_share: float = 1.0, entropy_gain: float | None = 0.5, repetitions: float | None = 4.0,
@@ -152,4 +153,4 @@ def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """(doc_id, source, tokens, copies), one row for each row of docs."""
     plan, sized = plan_mix(spark, docs, **options)
     plan.id_col, plan.source_col = "id", "source"
-    return plan.copies(sized).select(F.col("id").alias("doc_id"), "source", "tokens", F.col("mix_copies").alias("copies"))
+    return plan.copies(sized).select(F.col("id").alias("doc_id"), "source", "tokens", F.col("__mix_copies").alias("copies"))
