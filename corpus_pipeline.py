@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter have no language and go."""
     words = lang_id.sample_words(docs, "doc_id", "text", "lang")
     net = lang_id.train(words) if any(words.values()) else None
-    judged = lang_id.predict(spark, docs, net, "doc_id", "text")
-    return judged.where(F.col("lang_pred") != lang_id.UNKNOWN).select(docs.columns)
+    judged = lang_id.predict(spark, docs, net, "text", "__lang", "__score")
+    return judged.where(F.col("__lang") != lang_id.UNKNOWN).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
