@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relations import dedup_definitions, number_symbols
-from .packs import CONTROL, compile_pack
+from .packs import KEYWORDS, compile_pack
 
 TYPES = {"cls", "struct", "iface"}
 BODIES = {"fn", "method"}
@@ -104,19 +104,19 @@ def _extent(text: str, m: re.Match, how: str, braces: dict[int, int], ends: dict
 
 def brace_language(lang: str, src: bytes) -> Found:
     pack, blank, rules, refs, decisions = compile_pack(lang)
-    text = blank.sub(_blank, src.decode("latin-1"))
+    text, reserved = blank.sub(_blank, src.decode("latin-1")), KEYWORDS[lang]
     found = Found(src)
     braces = _braces(text)
     ends = _ends(text, pack.opens) if pack.opens else {}
-    got, names = [], {}
+    got, names = [], set()
     for rule, pattern in rules:
         for m in pattern.finditer(text):
-            if m.group("name") in CONTROL:
+            # A statement is no declaration, however it looks after its first word.
+            if m.group("name") in reserved or re.match(r"\s*(?:return|throw|new|await|yield|else|goto|delete)\b", m.group()):
                 continue
             end, body = _extent(text, m, rule.end, braces, ends)
             start = m.start() + len(m.group()) - len(m.group().lstrip())
             got.append((start, -end, rule, m, body))
-            names[m.start("name")] = True
     got.sort(key=lambda x: x[:2])
     open_types: list[int] = []
     seen = set()
@@ -133,13 +133,14 @@ def brace_language(lang: str, src: bytes) -> Found:
         if (start, m.start("name"), kind) in seen:
             continue
         seen.add((start, m.start("name"), kind))
+        names.add(m.start("name"))
         cx = 1 + sum(1 for _ in decisions.finditer(text, start, end)) if kind in BODIES else 0
         found.add(_utf8(m.group("name")), kind, start, end, cx, (body, end))
     taken = set()
     for pattern in refs:
         for m in pattern.finditer(text):
             at = m.start("name")
-            if at in names or at in taken or m.group("name") in CONTROL:
+            if at in names or at in taken or m.group("name") in reserved:
                 continue
             taken.add(at)
             found.ref(_utf8(m.group("name")), at, m.end("name"))

@@ -8,7 +8,10 @@ a grammar: exact (a real parser), close (a full scanner of a simple format) or h
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+
+# Where a member may begin.
+HEAD = r"(?m)(?:^|(?<=[{;}]))[ \t]*"
 
 ID = r"[A-Za-z_$\x80-\xff][\w$\x80-\xff]*+"
 
@@ -17,11 +20,16 @@ HASH_COMMENT = r"#[^\n]*"
 QUOTED = r'"(?:\\.|[^"\\\n])*"?|' + r"'(?:\\.|[^'\\\n])*'?"
 DOUBLE = r'"(?:\\.|[^"\\\n])*"?'
 
-# Decision words of each family; every one is a node that the complexity measure counts.
-CONTROL = {"if", "for", "while", "switch", "catch", "return", "do", "else", "case", "new", "throw", "sizeof", "typeof", "await", "yield", "in", "of",
-           "func", "function", "fn", "def", "and", "or", "not", "match", "loop", "foreach", "using", "lock", "fixed", "select", "defer", "go", "range",
-           "when", "unless", "until", "elsif", "elif", "guard", "super", "synchronized", "assert", "delete", "void", "instanceof", "echo", "print", "isset",
-           "unset", "empty", "array", "list", "exit", "die", "include", "require", "async", "try", "with", "then", "end", "local", "nonlocal", "global"}
+# Words that no declaration or call is named by: everywhere, and in one language.
+CONTROL = frozenset("if for while switch return do else case".split())
+KEYWORDS = {lang: CONTROL | frozenset(words.split()) for lang, words in {
+    "go": "func go defer range select", "java": "catch new throw synchronized super this assert", "c": "sizeof typeof goto", "cuda": "sizeof typeof goto",
+    "cpp": "sizeof typeof goto catch new delete throw alignof decltype static_assert noexcept", "csharp": "catch new throw foreach using lock fixed typeof nameof base this",
+    "dart": "catch new throw await assert super this", "elixir": "fn cond unless def defp defmodule", "bash": "then fi done esac function local",
+    "javascript": "catch new throw typeof await yield function super of in", "typescript": "catch new throw typeof await yield function super of in",
+    "tsx": "catch new throw typeof await yield function super of in", "kotlin": "when catch throw fun super this", "lua": "function end local and or not then",
+    "objc": "sizeof typeof goto", "php": "catch new throw echo print isset unset empty array list exit die include require foreach function fn match",
+    "ruby": "def end unless until elsif and or not super yield", "rust": "fn match loop", "swift": "func guard catch throw super"}.items()}
 
 
 @dataclass(frozen=True)
@@ -44,7 +52,6 @@ class Pack:
     blocks: str = "brace"  # brace or end
     opens: str = ""  # words that open an `end` block
     fidelity: str = "heuristic"
-    keywords: frozenset = field(default_factory=frozenset)
 
 
 CALL = rf"(?P<name>{ID})\s*\("
@@ -58,8 +65,8 @@ TYPE = rf"[A-Za-z_][\w.<>,?\[\]&*:~ ]*?[\w>\]?&*]"
 _JS = (
     Rule("fn", rf"(?m)\b(?:async\s+)?function\s*\*?\s*{N}\s*[<(]"),
     Rule("cls", rf"\bclass\s+{N}\b"),
-    Rule("method", rf"(?m)^[ \t]*{MODIFIERS}\*?(?P<name>#?{ID})\s*(?:<[^>\n]*>)?\([^;{{}}]*?\)\s*(?::[^{{;\n]+)?\{{", member="method", free=False),
-    Rule("method", rf"(?m)^[ \t]*{MODIFIERS}(?P<name>#?{ID})\s*=\s*(?:async\s*)?(?:\([^()]*\)|{ID})\s*(?::[^=\n]+)?=>", member="method", free=False),
+    Rule("method", rf"{HEAD}{MODIFIERS}\*?(?P<name>#?{ID})\s*(?:<[^>\n]*>)?\([^;{{}}]*?\)\s*(?::[^{{;\n]+)?\{{", member="method", free=False),
+    Rule("method", rf"{HEAD}{MODIFIERS}(?P<name>#?{ID})\s*=\s*(?:async\s*)?(?:\([^()]*\)|{ID})\s*(?::[^=\n]+)?=>", member="method", free=False),
     Rule("fn", rf"(?m)\b(?:const|let|var)\s+{N}\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^()]*\)|{ID})\s*(?::[^=\n]+)?=>"),
     Rule("fn", rf"(?m)\b(?:const|let|var)\s+{N}\s*=\s*(?:async\s+)?function\b"),
     Rule("var", rf"(?m)^(?:export\s+)?(?:const|var)\s+{N}\s*(?::[^=\n]+)?=", end="line"),
@@ -68,7 +75,7 @@ _TS = _JS + (
     Rule("cls", rf"(?m)^\s*(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+{N}"),
     Rule("iface", rf"\binterface\s+{N}"),
     Rule("cls", rf"(?m)^\s*(?:export\s+)?(?:declare\s+)?type\s+{N}[^=\n]*=", end="line"),
-    Rule("method", rf"(?m)^[ \t]*{MODIFIERS}{N}\??\s*(?:<[^>\n]*>)?\([^;{{}}]*?\)\s*:[^{{;\n]+;", end="match", member="method", free=False),
+    Rule("method", rf"{HEAD}{MODIFIERS}{N}\??\s*(?:<[^>\n]*>)?\([^;{{}}]*?\)\s*:[^{{;\n]+;", end="match", member="method", free=False),
 )
 _C = (
     Rule("cls", rf"(?m)\b(?:struct|union)\s+{N}\s*(?=\{{)"),
@@ -77,7 +84,7 @@ _C = (
     Rule("fn", rf"(?m)^(?!\s*(?:return|else|typedef|if|while|for|switch)\b)[A-Za-z_][\w \t*&:<>,]*?[ \t*&]{N}\s*\([^;{{}}]*\)\s*(?=[{{;])", member="method"),
     Rule("macro", rf"(?m)^[ \t]*#[ \t]*define[ \t]+{N}", end="line"),
     Rule("var", rf"(?m)^(?:static\s+|extern\s+|const\s+)*[A-Za-z_][\w \t*]*?[ \t*]{N}\s*(?:\[[^\]]*\]\s*)*=(?!=)", end="line"),
-    Rule("var", rf"(?m)^[ \t]+(?!return\b|goto\b|typedef\b)[A-Za-z_][\w:<>, \t*&]*?[ \t*&]{N}\s*(?:\[[^\]]*\]\s*)*;", end="line", member="var", free=False),
+    Rule("var", rf"{HEAD}(?!return\b|goto\b|typedef\b)[A-Za-z_][\w:<>, \t*&]*?[ \t*&]{N}\s*(?:\[[^\]]*\]\s*)*;", end="line", member="var", free=False),
 )
 _JVM_CALLS = (CALL, NEW)
 
@@ -91,7 +98,7 @@ PACKS: dict[str, Pack] = {
             Rule("iface", rf"(?m)^\s*(?:type\s+)?{N}(?:\[[^\]]*\])?\s+interface\b"),
             Rule("cls", rf"(?m)^\s*type\s+{N}\s*+=?\s*+(?!struct\b|interface\b)[\w*\[(]", end="line"),
             Rule("var", rf"(?m)^\s*(?:var|const)\s+{N}", end="line"),
-            Rule("method", rf"(?m)^[ \t]+{N}\([^)\n]*\)[^{{\n]*$", end="match", member="method", free=False),
+            Rule("method", rf"{HEAD}{N}\([^)\n]*\)[^{{\n]*$", end="match", member="method", free=False),
         ),
         (CALL,), r"\b(?:if|for|case)\b"),
     "java": Pack(
@@ -99,9 +106,9 @@ PACKS: dict[str, Pack] = {
         (
             Rule("cls", rf"{MODIFIERS}\b(?:class|enum|record)\s+{N}"),
             Rule("iface", rf"{MODIFIERS}@?\binterface\s+{N}"),
-            Rule("method", rf"(?m)^[ \t]*{MODIFIERS}(?:<[^>\n]*>\s*)?{TYPE}\s+{N}\s*\([^;{{}}]*\)\s*(?:throws\s+[\w., ]+)?(?=[{{;])", member="method", free=False),
-            Rule("method", rf"(?m)^[ \t]*{MODIFIERS}{N}\s*\([^;{{}}]*\)\s*(?:throws\s+[\w., ]+)?(?=\{{)", member="method", free=False),
-            Rule("var", rf"(?m)^[ \t]*{MODIFIERS}{TYPE}\s+(?P<name>[A-Z0-9_]*[A-Z][A-Z0-9_]*)\s*[=;]", end="line", member="var", free=False),
+            Rule("method", rf"{HEAD}{MODIFIERS}(?:<[^>\n]*>\s*)?{TYPE}\s+{N}\s*\([^;{{}}]*\)\s*(?:throws\s+[\w., ]+)?(?=[{{;])", member="method", free=False),
+            Rule("method", rf"{HEAD}{MODIFIERS}{N}\s*\([^;{{}}]*\)\s*(?:throws\s+[\w., ]+)?(?=\{{)", member="method", free=False),
+            Rule("var", rf"{HEAD}{MODIFIERS}{TYPE}\s+(?P<name>[A-Z0-9_]*[A-Z][A-Z0-9_]*)\s*[=;]", end="line", member="var", free=False),
         ),
         (*_JVM_CALLS, rf"(?m)^\s*import\s+(?:static\s+)?(?:{ID}\.)*(?P<name>{ID})\s*;"),
         r"\b(?:if|while|do|catch|switch)\b|\bfor\s*\((?![^;)]*:)|\?(?=[^?:>]*:)"),
@@ -111,6 +118,7 @@ PACKS: dict[str, Pack] = {
         (
             Rule("cls", rf"\b(?:class|struct|union)\s+(?:{ID}::)*{N}\s*(?:final\s*)?(?::[^{{;]*)?(?=\{{)"),
             Rule("method", rf"(?m)^[A-Za-z_][\w \t*&:<>,]*?[ \t*&](?:{ID}::)+(?P<name>~?{ID}|operator\s*[^\s(]+)\s*\([^;{{}}]*\)[^;{{}}]*(?=\{{)"),
+            Rule("method", rf"{HEAD}(?!return\b|else\b|delete\b|throw\b|new\b)(?:[A-Za-z_][\w \t*&:<>,]*?[ \t*&])?(?P<name>~?{ID})\s*\([^;{{}}]*\)[^;{{}}()=]*(?=[{{;])", member="method", free=False),
             Rule("method", rf"(?P<name>operator\s*[^\s\w(]+)\s*\([^;{{}}]*\)[^;{{}}]*(?=[{{;])"),
             *_C[1:],
         ),
@@ -122,9 +130,9 @@ PACKS: dict[str, Pack] = {
             Rule("cls", rf"{MODIFIERS}\b(?:class|record|enum)\s+{N}"),
             Rule("struct", rf"{MODIFIERS}\bstruct\s+{N}"),
             Rule("iface", rf"{MODIFIERS}\binterface\s+{N}"),
-            Rule("method", rf"(?m)^[ \t]*{MODIFIERS}{TYPE}\s+{N}\s*(?:<[^>\n]*>)?\([^;{{}}]*\)\s*(?:where[^{{;]*)?(?=[{{;]|=>)", member="method", free=False),
-            Rule("method", rf"(?m)^[ \t]*{MODIFIERS}{N}\s*\([^;{{}}]*\)\s*(?::[^{{;]*)?(?=\{{)", member="method", free=False),
-            Rule("var", rf"(?m)^[ \t]*{MODIFIERS}{TYPE}\s+{N}\s*(?=\{{\s*(?:get|set|init)\b|=>|=|;)", member="var", free=False),
+            Rule("method", rf"{HEAD}{MODIFIERS}{TYPE}\s+{N}\s*(?:<[^>\n]*>)?\([^;{{}}]*\)\s*(?:where[^{{;]*)?(?=[{{;]|=>)", member="method", free=False),
+            Rule("method", rf"{HEAD}{MODIFIERS}{N}\s*\([^;{{}}]*\)\s*(?::[^{{;]*)?(?=\{{)", member="method", free=False),
+            Rule("var", rf"{HEAD}{MODIFIERS}{TYPE}\s+{N}\s*(?=\{{\s*(?:get|set|init)\b|=>|=|;)", member="var", free=False),
         ),
         (CALL, rf"(?P<name>{ID})\s*<[^<>;(){{}}]*>\s*\(", NEW),
         r"\b(?:if|while|do|catch)\b|\bfor\s*\(|\?(?![.?])(?=[^?:;]*:)|=>(?=[^;{}]*,)|\bswitch\s*\{"),
@@ -133,7 +141,7 @@ PACKS: dict[str, Pack] = {
         (
             Rule("cls", rf"(?m)^\s*(?:abstract\s+)?(?:class|mixin|extension|enum)\s+{N}"),
             Rule("cls", rf"(?m)^\s*typedef\s+{N}", end="line"),
-            Rule("method", rf"(?m)^[ \t]+{MODIFIERS}(?:{TYPE}\s+)?(?:get\s+|set\s+)?{N}\s*(?:\([^;{{}}]*\))?\s*(?:async\*?\s*)?(?=\{{|=>)", member="method", free=False),
+            Rule("method", rf"{HEAD}{MODIFIERS}(?:{TYPE}\s+)?(?:get\s+|set\s+)?{N}\s*(?:\([^;{{}}]*\))?\s*(?:async\*?\s*)?(?=\{{|=>)", member="method", free=False),
             Rule("fn", rf"(?m)^{TYPE}\s+{N}\s*\([^;{{}}]*\)\s*(?:async\*?\s*)?(?=\{{|=>)", member="method"),
         ),
         (CALL,), C_DECISIONS + r"|\bcatch\b"),
@@ -210,7 +218,7 @@ PACKS: dict[str, Pack] = {
             Rule("cls", rf"{MODIFIERS}\b(?:class|struct|enum|actor|extension)\s+(?!func\b|var\b|let\b){N}"),
             Rule("iface", rf"\bprotocol\s+{N}"),
             Rule("fn", rf"\bfunc\s+(?P<name>{ID}|[^\s\w(]+)\s*[<(]"),
-            Rule("method", r"(?m)^[ \t]*(?:\w+\s+)*(?P<name>init|deinit|subscript)\b[?!]?\s*(?=[({<])", member="method", free=False),
+            Rule("method", HEAD + r"(?:\w+\s+)*(?P<name>init|deinit|subscript)\b[?!]?\s*(?=[({<])", member="method", free=False),
             Rule("var", rf"(?m)^[ \t]*{MODIFIERS}(?:var|let)\s+{N}", end="line"),
             Rule("var", rf"(?m)^\s*case\s+{N}(?=\s*[(,=\n])", end="line", member="var", free=False),
             Rule("cls", rf"\b(?:typealias|associatedtype)\s+{N}", end="line"),
