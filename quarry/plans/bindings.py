@@ -109,10 +109,13 @@ o AS (SELECT query, score, row_number() OVER w - 1 AS i, lag(score) OVER w AS pr
 d AS (SELECT query, i, (prev - score) / prev AS d FROM o),
 a AS (SELECT query, count(*) AS avail, max(d) AS best FROM d GROUP BY query),
 c AS (SELECT query, i, d, row_number() OVER (PARTITION BY query ORDER BY d DESC, i) AS rn FROM d WHERE i >= 1 AND i < 40),
-s AS (SELECT a.query, avail, coalesce(best, 0) AS best, coalesce(c.d, 0) AS d, c.i FROM a LEFT JOIN c ON a.query = c.query AND rn = 1)
-SELECT query, avail AS positives, CASE WHEN d >= 0.2 THEN greatest(i, least(5, avail)) ELSE greatest(least(40, avail), least(5, avail)) END AS kept,
+names(query) AS (VALUES {', '.join(f"('{n}')" for n in TASKS)}),
+s AS (SELECT names.query, coalesce(avail, 0) AS avail, coalesce(best, 0) AS best, coalesce(c.d, 0) AS d, c.i
+  FROM names LEFT JOIN a ON a.query = names.query LEFT JOIN c ON a.query = c.query AND rn = 1)
+SELECT query, avail AS positives,
+  CASE WHEN avail = 0 THEN 5 WHEN d >= 0.2 THEN greatest(i, least(5, avail)) ELSE greatest(least(40, avail), least(5, avail)) END AS kept,
   NOT d >= 0.2 AS hit_ceiling, CAST(CASE WHEN d >= 0.2 THEN floor(100 * d + 0.5) WHEN best >= 0.2 THEN floor(100 * best + 0.5) ELSE 0 END AS INT) AS margin_pct,
-  CASE WHEN d >= 0.2 OR avail <= greatest(least(40, avail), least(5, avail)) THEN 'high' ELSE 'low' END AS confidence FROM s"""
+  CASE WHEN d >= 0.2 OR (avail > 0 AND avail <= greatest(least(40, avail), least(5, avail))) THEN 'high' ELSE 'low' END AS confidence FROM s"""
 
 
 @query(_cliff_sql())
