@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import STOPWORDS, is_camel, is_snake, lower_ascii, query_terms, query_words, subtokens
+from .ordering import number_rows, with_previous
 
 K1, B = 1.5, 0.75
 W_NAME, W_CALLEE, W_BODY = 3, 1, 1
@@ -51,12 +51,8 @@ def bm25(fields: DataFrame, terms: list[str], id_col: str = "sym_id") -> DataFra
 
 
 def ranked(scores: DataFrame, id_col: str = "sym_id") -> DataFrame:
-    """Positive scores with r, 1 for the best; ties by id.
-
-    r beyond the ceiling is of no use to the cut, which needs only the first CEILING rows, all drops' maximum and
-    the count; those come from cut_summary.
-    """
-    return scores.where("score > 0").withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
+    """Positive scores with r, 1 for the best; ties by id."""
+    return number_rows(scores.where("score > 0"), [F.desc("score"), F.col(id_col)], "r").withColumn("r", F.col("r") + 1)
 
 
 def cut_summary(scores: DataFrame, id_col: str = "sym_id", floor: int = FLOOR, ceiling: int = CEILING, cliff: float = CLIFF) -> DataFrame:
@@ -65,18 +61,15 @@ def cut_summary(scores: DataFrame, id_col: str = "sym_id", floor: int = FLOOR, c
     Drops between neighbours in descending order are taken relative to the upper one. The first largest drop
     below the ceiling cuts if it is a cliff, but at least `floor` are kept; else the ceiling does.
     """
-    r = ranked(scores, id_col)
-    order = Window.orderBy("r")
-    before = F.lag("score").over(order)
-    drops = r.select("r", (F.col("r") - 1).alias("i"), ((before - F.col("score")) / before).alias("d"))
-    n = F.count(F.lit(1))
-    a = drops.agg(
-        n.alias("positives"), F.max("d").alias("any"),
-        F.max(F.when(F.col("d").isNotNull() & (F.col("i") < ceiling), F.struct("d", (-F.col("i")).alias("i")))).alias("top"))
-    top = F.greatest(F.least(F.lit(ceiling), F.col("positives")), F.least(F.lit(floor), F.col("positives")))
+    places = number_rows(scores.where("score > 0").select(id_col, "score"), [F.desc("score"), F.col(id_col)], "i")
+    drops = with_previous(places, "i", "score", "before").select("i", ((F.col("before") - F.col("score")) / F.col("before")).alias("d"))
+    top = F.max(F.when(F.col("d").isNotNull() & (F.col("i") < ceiling), F.struct("d", (-F.col("i")).alias("i"))))
+    a = drops.agg(F.count(F.lit(1)).alias("positives"), F.max("d").alias("any"), top.alias("top"))
+    least = F.least(F.lit(floor), F.col("positives"))
+    most = F.greatest(F.least(F.lit(ceiling), F.col("positives")), least)
     cut = F.coalesce(F.col("top.d"), F.lit(0.0)) >= F.lit(cliff)
     pct = lambda d: F.floor(F.lit(100.0) * d + F.lit(0.5)).cast("int")
-    kept = F.when(F.col("positives") == 0, F.lit(floor)).when(cut, F.greatest(-F.col("top.i"), F.least(F.lit(floor), F.col("positives")))).otherwise(top)
+    kept = F.when(F.col("positives") == 0, F.lit(floor)).when(cut, F.greatest(-F.col("top.i"), least)).otherwise(most)
     margin = F.when(cut, pct(F.col("top.d"))).when(F.coalesce("any", F.lit(0.0)) >= F.lit(cliff), pct(F.col("any"))).otherwise(F.lit(0))
     out = a.select("positives", kept.cast("bigint").alias("kept"), (~cut).alias("hit_ceiling"), margin.alias("margin_pct"), cut.alias("cut"))
     sure = F.col("cut") | ((F.col("positives") > 0) & (F.col("positives") <= F.col("kept")))

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordering import number_rows
 
 # Kinds by how much they say about a definition.
 SPECIFICITY = {"method": 5, "fn": 4, "struct": 4, "iface": 4, "cls": 3, "macro": 2, "var": 1, "sec": 1}
@@ -34,16 +35,8 @@ def dedup_definitions(defs: DataFrame) -> DataFrame:
 
 
 def number_symbols(defs: DataFrame) -> DataFrame:
-    """sym_id: rank by (file_id, line, name) from 0, without a sort of all rows in one task.
-
-    Ranks are taken within a file, then moved by the number of definitions in the files before it; only the
-    per-file counts meet in one window.
-    """
-    within = F.row_number().over(Window.partitionBy("file_id").orderBy("line", "name")) - 1
-    counts = defs.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("file_id", (F.sum("n").over(Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1))).alias("base"))
-    return (defs.withColumn("_w", within).join(before, "file_id")
-            .withColumn("sym_id", (F.coalesce("base", F.lit(0)) + F.col("_w")).cast("int")).drop("_w", "base"))
+    """sym_id: rank by (file_id, line, name) from 0."""
+    return number_rows(defs, ["file_id", "line", "name"], "sym_id").withColumn("sym_id", F.col("sym_id").cast("int"))
 
 
 def enclosing(points: DataFrame, spans: DataFrame, point_id: str, group: str, at: tuple[str, str], span: tuple[str, str], span_id: str, slack: int = 0) -> DataFrame:

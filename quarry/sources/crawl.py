@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import extension
+from ..operators.ordering import number_rows
 
 MAX_BYTES = 4 << 20
 SNIFF_BYTES = 4096
@@ -62,9 +63,8 @@ def stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def number_files(files: DataFrame) -> DataFrame:
-    """file_id: rank of the path in byte order, from 0. Only paths meet in the window, and files are few next to
-    their contents."""
-    ids = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("int").alias("file_id"))
+    """file_id: rank of the path in byte order, from 0."""
+    ids = number_rows(files.select("path"), ["path"], "file_id").withColumn("file_id", F.col("file_id").cast("int"))
     return files.join(ids, "path")
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quarry.operators import graph, lexical, relations
+from quarry.operators import graph, lexical, ordering, relations
 from quarry.sources import crawl
 
 
@@ -149,3 +149,17 @@ def test_dedup_definitions(spark):
     rows = [(0, 1, "a", "cls", 0, 9, 0, 10, 0, 0, 10), (0, 1, "a", "struct", 1, 5, 2, 8, 3, 4, 8), (0, 1, "a", "iface", 2, 6, 3, 7, 1, 1, 1), (0, 2, "a", "var", 3, 2, 9, 9, 0, 0, 0)]
     got = {(r.line, r.kind, r.end_line, r.start_byte, r.cx) for r in relations.dedup_definitions(spark.createDataFrame(rows, cols)).collect()}
     assert got == {(1, "struct", 9, 2, 0), (2, "var", 2, 9, 0)}
+
+
+def test_places_without_one_sort(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SPAN", 3)
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(20)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, v int")
+    placed = ordering.number_rows(df, ["v", "id"], "at")
+    want = {i: at for at, (_, i) in enumerate(sorted((v, i) for i, v in rows))}
+    assert {r.id: r.at for r in placed.collect()} == want
+    order = [v for _, v in sorted((at, v) for (i, v), at in zip(rows, [want[i] for i, _ in rows], strict=True))]
+    got = sorted((r.at, r.before) for r in ordering.with_previous(placed, "at", "v", "before").collect())
+    assert got == [(i, order[i - 1] if i else None) for i in range(200)]
+    assert ordering.number_rows(df.where("false"), ["v", "id"], "at").collect() == []
