@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
+SLICE_ROWS = 2_000
+
 _own_dir: dict[str, str] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay for later tasks, and idle ones should hold little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send documents to Python in batches of at most SLICE_ROWS rows; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= SLICE_ROWS:
+        spark.conf.set(name, SLICE_ROWS)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = SLICE_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` over slices of at most `rows` rows, with its memory given back at the end of the task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices():
+            for b in batches:
+                for at in range(0, b.num_rows, rows):
+                    yield b.slice(at, rows)
+
+        try:
+            yield from run(slices())
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

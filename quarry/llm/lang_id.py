@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 PIECE = 32
 HIDDEN = 16
 DOCS_A_LANG = 300
@@ -197,7 +199,7 @@ def sample_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(few, pa.binary())], ["lang", "words"])
 
     out: dict[str, list[bytes]] = {lang: [] for lang in sorted(sizes)}
-    rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(pick, "lang string, words binary").collect()
+    rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(lean(pick), "lang string, words binary").collect()
     for r in sorted(rows, key=lambda r: (r["lang"], bytes(r["words"]))):
         out[r["lang"]] += bytes(r["words"]).split()
     return out
@@ -205,6 +207,7 @@ def sample_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
 
 def predict(spark: SparkSession, docs: DataFrame, net: Network | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with the prediction and its score added, by names that docs must not have."""
+    small_batches(spark)
     kept = docs.columns
     shared = spark.sparkContext.broadcast(net)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -248,7 +251,7 @@ def predict(spark: SparkSession, docs: DataFrame, net: Network | None, text_col:
                 flush()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, lang_out, score_out])
 
-    return docs.mapInArrow(run, f"{fields}, `{lang_out}` string, `{score_out}` double")
+    return docs.mapInArrow(lean(run), f"{fields}, `{lang_out}` string, `{score_out}` double")
 
 
 def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-/'][A-Za-z0-9]+)*")
 ANCHOR = re.compile(r"licen[sc]ed?s?|permission|redistributions?|copyright|warranty", re.I)
 MIN_REDUCTION = 0.2
@@ -130,6 +132,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     Whole texts are scanned. Null, empty and clean texts give no rows; repeated rows and null ids give theirs each;
     notices that tie are ranked by their template's length, then its name. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     chosen = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,5 +151,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
 
     kind = dict(docs.dtypes)[id_col]
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(f"(?i){ANCHOR.pattern}"))
-    out = held.mapInArrow(run, f"id {kind}, license string, start_char bigint, end_char bigint, reduction double, n_diff int, differences string")
+    out = held.mapInArrow(lean(run), f"id {kind}, license string, start_char bigint, end_char bigint, reduction double, n_diff int, differences string")
     return out.withColumnRenamed("id", id_col)

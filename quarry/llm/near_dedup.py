@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, lean, small_batches
 
 BUCKET_BITS = 8
 REGISTERS = 1 << BUCKET_BITS
@@ -38,7 +38,7 @@ PIVOTS = 8
 SURE = 48  # smaller sets are compared without an estimate
 MARGIN = 6  # standard deviations of the estimate
 BROADCAST_ROWS = 200_000
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -244,10 +244,10 @@ def _verify(spark: SparkSession, texts: DataFrame, members: DataFrame, n: int, p
 
     kind = dict(members.dtypes)["rep"]
     own = texts.join(_small(members, n), texts["id"] == members["rep"]).select("rep", "grp", "blk", "comp", "text")
-    sets = own.mapInArrow(to_sets, f"rep {kind}, grp {kind}, blk string, comp {kind}, hashes binary")
+    sets = own.mapInArrow(lean(to_sets), f"rep {kind}, grp {kind}, blk string, comp {kind}, hashes binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = sets.repartition(parts, "grp", "blk").sortWithinPartitions("grp", "blk", "rep")
-    return dealt.mapInArrow(links, f"a {kind}, b {kind}")
+    return dealt.mapInArrow(lean(links), f"a {kind}, b {kind}")
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -264,6 +264,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     taken as that many copies of its component, and a null id stays in a component of its own. An empty table gives
     no rows. Other columns are ignored.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     rows, bands = banding(percent / 100)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -280,7 +281,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
                 [b.column("id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["id", "n", "print", "keys"])
 
-    sketches = scratch.keep(texts.mapInArrow(sketch, f"id {kind}, n bigint, print binary, keys array<bigint>"), "sketches")
+    sketches = scratch.keep(texts.mapInArrow(lean(sketch), f"id {kind}, n bigint, print binary, keys array<bigint>"), "sketches")
     whole = sketches.where(F.col("print").isNotNull() & F.col("id").isNotNull())
     # One of each class of equal sets; copies are reduced before the shuffle.
     classes = scratch.keep(whole.groupBy("print").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys")), "classes")

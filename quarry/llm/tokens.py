@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 CHUNK = 32_768
 OVERLAP = 1_024
 MEMO_PIECES = 500_000  # pieces that a worker remembers; beyond it the memory is emptied
@@ -163,10 +165,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text"))
     kind = dict(read.dtypes)["id"]
-    return read.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint").select(
+    return read.mapInArrow(lean(run), f"id {kind}, n_bytes bigint, n_tokens bigint").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

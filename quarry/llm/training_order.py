@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean, small_batches
 from .tokens import ByteCodec
 
 ROUNDS = 6
@@ -120,7 +120,7 @@ def encode_sequences(docs: DataFrame, codec_args: tuple[str, str], dictionary: b
             yield batch_of(rows)
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, f"part int, idx bigint, n_tokens int, payload binary, spans {SPAN.format(kind=kind)}")
+    return read.mapInArrow(lean(run), f"part int, idx bigint, n_tokens int, payload binary, spans {SPAN.format(kind=kind)}")
 
 
 def materialise(spark: SparkSession, docs: DataFrame, out_dir: str, codec_args: tuple[str, str], seq_len: int = 2048, rows_per_shard: int = 4096,
@@ -132,6 +132,7 @@ def materialise(spark: SparkSession, docs: DataFrame, out_dir: str, codec_args:
     with end marks that n_tokens does not count. ids_sha256 is of the row's counted bytes. Repeated rows are
     written each; null ids stay null in spans. An empty table writes no shard. Other columns are ignored.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "training-order")
     dictionary = sample_dictionary(docs, codec_args, text_col)
     seqs = scratch.keep(encode_sequences(docs, codec_args, dictionary, seq_len, id_col, text_col), "sequences")
@@ -152,7 +153,7 @@ def materialise(spark: SparkSession, docs: DataFrame, out_dir: str, codec_args:
     shards = max(1, -(-n // rows_per_shard))
     tasks = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     each = -(-shards // tasks)
-    placed = seqs.mapInArrow(place, f"slot bigint, n_tokens int, payload binary, spans {spans}")
+    placed = seqs.mapInArrow(lean(place), f"slot bigint, n_tokens int, payload binary, spans {spans}")
     dealt = placed.repartitionById(tasks, (F.col("slot") / (rows_per_shard * each)).cast("int")).sortWithinPartitions("slot")
     out_dir = out_dir.rstrip("/")
 
@@ -189,7 +190,7 @@ def materialise(spark: SparkSession, docs: DataFrame, out_dir: str, codec_args:
         close()
 
     codec_eot = ByteCodec(*codec_args).eot
-    index = scratch.keep(dealt.mapInArrow(write, f"slot bigint, n_tokens int, spans {spans}, ids_sha256 string"), "index")
+    index = scratch.keep(dealt.mapInArrow(lean(write), f"slot bigint, n_tokens int, spans {spans}, ids_sha256 string"), "index")
     scratch.drop(seqs)
     row = (F.col("slot") % rows_per_shard).cast("bigint")
     return index.select(
