@@ -105,29 +105,34 @@ class Scratch:
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, component): the smallest vertex reachable over edges (a, b), for every vertex of an edge.
 
-    Minimum-label propagation with pointer jumping: the number of rounds grows with the logarithm of a
-    component's diameter. Labels and edges stay distributed; each round is written to the shared folder.
-    A hub's neighbours are reduced by map-side minimum before any shuffle.
+    Contraction: every vertex points to the smallest vertex next to it or itself, pointers are followed to their
+    roots by doubling, and edges are rewritten to roots; edges inside one root go. At least half of the vertices
+    disappear in a round, so rounds and the doubling steps of each grow with the logarithm of the graph. Labels and
+    edges stay distributed; each step is written to the shared folder. A hub's neighbours are reduced to a
+    minimum before any shuffle.
     """
-    e = edges.select("a", "b").where("a <> b")
-    both = scratch.keep(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    label = scratch.keep(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "cc-label")
+    left = scratch.keep(edges.select("a", "b").where("a <> b").distinct(), "cc-edges")
+    label = None
     while True:
-        near = (
-            both.join(label.select(F.col("v").alias("b"), "c"), "b")
-            .groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        )
-        hooked = label.join(near, "v").select("v", F.least("c", "m").alias("n"), "c")
-        # The label's own label: one pointer jump. A label is always a vertex.
-        up = label.select(F.col("v").alias("n"), F.col("c").alias("up"))
-        step = scratch.keep(
-            hooked.join(up, "n", "left").select("v", F.least("n", F.coalesce("up", "n")).alias("c"), F.col("c").alias("old")),
-            "cc-label",
-        )
-        moved = step.where("c <> old").limit(1).count()
-        scratch.drop(label)
-        label = step.select("v", "c")
-        label._quarry_path = step._quarry_path
-        if not moved:
-            scratch.drop(both)
-            return label.select("v", F.col("c").alias("component"))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = scratch.keep(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("r")), "cc-up")
+        while True:
+            step = scratch.keep(up.join(up.select(F.col("v").alias("r"), F.col("r").alias("rr")), "r").select("v", F.col("rr").alias("r"), (F.col("r") != F.col("rr")).alias("moved")), "cc-up")
+            moved = not step.where("moved").isEmpty()
+            scratch.drop(up)
+            up = step
+            if not moved:
+                break
+        roots = up.select("v", "r")
+        # Roots of earlier rounds are vertices of this one, unless they have no edges left.
+        new = roots.withColumnRenamed("r", "component") if label is None else (
+            label.join(roots.select(F.col("v").alias("component"), "r"), "component", "left").select("v", F.coalesce("r", "component").alias("component")))
+        old, label = label, scratch.keep(new, "cc-label")
+        a, b = roots.select(F.col("v").alias("a"), F.col("r").alias("ra")), roots.select(F.col("v").alias("b"), F.col("r").alias("rb"))
+        fewer = scratch.keep(left.join(a, "a").join(b, "b").where("ra <> rb").select(
+            F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+        for x in (left, up, *([old] if old is not None else [])):
+            scratch.drop(x)
+        left = fewer
+        if left.isEmpty():
+            return label
