@@ -112,15 +112,19 @@ def uses(index: Index, selector: str) -> Answer:
     return rows, summary
 
 
-def at(index: Index, place: str) -> Answer:
-    """Definitions around FILE:LINE, innermost first; none for an unknown file."""
+def at(index: Index, place: str, strict_parity: bool = False) -> Answer:
+    """Definitions around FILE:LINE, innermost first; none for an unknown file. With strict_parity the innermost
+    alone, and an unknown file is the first one."""
     file, _, line = place.rpartition(":")
     number = int(line) if line.isdigit() else 0
     own = index.files.where((F.col("path") == file) | F.col("path").endswith("/" + file)).agg(F.min("file_id").alias("file_id"))
+    if strict_parity:
+        own = own.select(F.coalesce("file_id", F.lit(0)).alias("file_id"))
     s = _symbols(index).join(own, "file_id").where(F.lit(number).between(F.col("line"), F.col("end_line")))
     order = Window.partitionBy("file_id").orderBy(F.desc("line"), F.desc("sym_id"))
     rows = s.select(F.col("name").alias("n"), F.col("kind").alias("t"), F.col("line").alias("l"), F.col("end_line").alias("el"), "path", "sym_id",
                     F.row_number().over(order).alias("up")).orderBy("up")
+    rows = rows.where("up = 1") if strict_parity else rows
     summary = rows.agg(F.count(F.lit(1)).alias("chain"), F.min_by("n", "up").alias("sym")).withColumn("p", F.lit(file)).withColumn("l", F.lit(number))
     return rows, summary
 
@@ -200,12 +204,12 @@ def for_task(index: Index, task: str) -> Answer:
     return rows, summary
 
 
-def from_trace(index: Index, trace: str) -> Answer:
+def from_trace(index: Index, trace: str, strict_parity: bool = False) -> Answer:
     """Frames of a stack trace, in order, with the definitions they lie in; the first one that is in the corpus comes
-    with its body."""
+    with its body. With strict_parity a file may match from the middle of a path part."""
     spark = index.files.sparkSession
     frames = keep(parse_frames(spark.range(1).select(F.lit(trace).alias("value"))), "frames")
-    placed = relations.suffix_join(frames, index.files)
+    placed = relations.suffix_join(frames, index.files, boundary=not strict_parity)
     spans = index.symbols.select("file_id", "line", "end_line", "sym_id")
     found = relations.enclosing(placed.withColumnRenamed("line", "at_line"), spans, "frame_no", "file_id", ("at_line", "at_line"), ("line", "end_line"), "sym_id")
     s = index.symbols.select(F.col("sym_id").alias("enclosing"), F.col("name").alias("n"), F.col("kind").alias("t"))

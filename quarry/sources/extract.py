@@ -327,14 +327,33 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(symbols, refs) of files(file_id, lang, content)."""
+#: Languages whose variables count as constants only if they are named like one.
+CONSTANT_LANGS = ("c", "cuda", "cpp", "csharp", "javascript", "typescript", "tsx", "ruby")
+
+
+def documented_gates(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols without those that stricter rules leave out: variables not named like constants in CONSTANT_LANGS, and
+    YAML keys below the second level."""
+    s = symbols.join(files.select("file_id", "lang"), "file_id")
+    constant = F.col("name").rlike("^[A-Z0-9_]*[A-Z][A-Z0-9_]*$")
+    s = s.where(~((F.col("kind") == "var") & F.col("lang").isin(*CONSTANT_LANGS)) | constant)
+    keys = s.where("lang = 'yaml'").select("file_id", "sym_id", "start_byte", "end_byte")
+    outer = keys.select("file_id", F.col("sym_id").alias("o"), F.col("start_byte").alias("os"), F.col("end_byte").alias("oe"))
+    deep = (keys.join(outer, "file_id").where("o <> sym_id and os < start_byte and oe >= end_byte").groupBy("sym_id").agg(F.count(F.lit(1)).alias("n"))
+            .where("n >= 2").select("sym_id"))
+    return s.join(deep, "sym_id", "left_anti").select(symbols.columns)
+
+
+def extract(files: DataFrame, gates: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbols, refs) of files(file_id, lang, content); gates="documented" applies documented_gates."""
     from ..functions.storage import keep
 
     raw = keep(files.select("file_id", "lang", "content").mapInArrow(_run, SCHEMA), "extract")
     defs = raw.where("is_def").drop("is_def")
     symbols = number_symbols(dedup_definitions(defs)).select(
         "sym_id", "name", "kind", "file_id", "line", "end_line", "start_byte", "end_byte", "cx", "body_start", "body_end")
+    if gates == "documented":
+        symbols = documented_gates(symbols, files)
     # Unique over files without a sort: a file has far fewer than 2^32 references.
     ref_id = F.shiftleft(F.col("file_id").cast("bigint"), 32) + F.col("seq")
     refs = raw.where("not is_def").select(ref_id.alias("ref_id"), "name", "file_id", "start_byte", "end_byte")

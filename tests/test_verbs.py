@@ -3,6 +3,7 @@
 import pytest
 
 from quarry.plans import incremental, verbs
+from quarry.sources.extract import extract
 
 
 @pytest.fixture(scope="module")
@@ -74,6 +75,18 @@ def test_at_chain(java):
     assert [x.n for x in r] == ["main", "Main"]
 
 
+def test_strict_parity(java):
+    assert [x.n for x in rows(verbs.at(java, "Main.java:10", strict_parity=True))[0]] == ["main"]
+    assert [x.n for x in rows(verbs.at(java, "None.java:10", strict_parity=True))[0]] == ["main"]
+
+
+def test_documented_gates(spark):
+    src = [(0, "a.yml", 0, b"a:\n  b:\n    c: 1\n", "yaml"), (1, "b.js", 0, b"const low = 1\nconst HIGH = 2\n", "javascript")]
+    files = spark.createDataFrame(src, "file_id int, path string, n_bytes bigint, content binary, lang string")
+    names = lambda **k: {r.name for r in extract(files, **k)[0].collect()}
+    assert names() == {"a", "b", "c", "low", "HIGH"} and names(gates="documented") == {"a", "b", "HIGH"}
+
+
 def test_impact(go):
     r, s = rows(verbs.impact(go, "Point"))
     assert r == [] and (s.reaches, s.depth, s.depth_capped) == (0, 1, 0)
