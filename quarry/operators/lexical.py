@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import keep
 from ..functions.text import STOPWORDS, is_camel, is_snake, lower_ascii, query_terms, query_words, subtokens
 from .ordering import number_rows, with_previous
 
@@ -32,22 +35,20 @@ def _equals(term: str):
 def bm25(fields: DataFrame, terms: list[str], id_col: str = "sym_id") -> DataFrame:
     """(id, score) of every id in fields(id, text, w).
 
-    The query's terms are few, so each becomes a column: one aggregation by id gives lengths and frequencies, a
-    second one, of one row, document frequencies, and no token list is ever exploded.
+    The query's terms are few, so each becomes a column: one aggregation by id gives lengths and frequencies, and a
+    second one, of one row, document frequencies and the mean length. No token list is ever exploded.
     """
     toks = fields.select(id_col, "w", subtokens(F.coalesce("text", F.lit(""))).alias("toks"))
     w = F.col("w")
     tf = [F.sum(w * F.size(F.filter("toks", _equals(t)))).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)]
-    docs = toks.groupBy(id_col).agg(F.sum(w * F.size("toks")).cast("double").alias("dl"), *tf)
-    stats = docs.agg(F.count(F.lit(1)).alias("s"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    met = docs.crossJoin(F.broadcast(stats)) if terms else docs
+    docs = keep(toks.groupBy(id_col).agg(F.sum(w * F.size("toks")).cast("double").alias("dl"), *tf), "bm25")
+    seen = docs.agg(F.count(F.lit(1)).alias("s"), F.avg("dl").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))]).first()
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
-        n, f = F.col(f"n{i}"), F.col(f"tf{i}")
-        idf = F.log((F.col("s") - n + F.lit(0.5)) / (n + F.lit(0.5)) + F.lit(1.0))
-        norm = f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avg"))
-        score = score + F.when(f > 0, idf * f * F.lit(K1 + 1) / norm).otherwise(0.0)
-    return met.select(id_col, score.alias("score"))
+        f, idf = F.col(f"tf{i}"), math.log((seen["s"] - seen[f"n{i}"] + 0.5) / (seen[f"n{i}"] + 0.5) + 1.0)
+        norm = f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(seen["mean"] or 1.0))
+        score = score + F.when(f > 0, F.lit(idf) * f * F.lit(K1 + 1) / norm).otherwise(0.0)
+    return docs.select(id_col, score.alias("score"))
 
 
 def ranked(scores: DataFrame, id_col: str = "sym_id") -> DataFrame:

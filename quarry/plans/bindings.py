@@ -286,10 +286,10 @@ SELECT ref_id, sym_id, tier, k FROM k WHERE tier < 3 OR k = 1"""
 def candidate_ladder(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
     s = part.select(F.col("p_partkey").alias("sym_id"), F.concat_ws(" ", "p_name", "p_size").alias("name"), F.concat_ws("/", "p_brand", "p_type").alias("path"))
-    top = part.agg(F.max("p_partkey").alias("m"))
+    top = part.agg(F.max("p_partkey")).first()[0]
     called = s.select(F.col("sym_id").alias("target"), "name")
     refs = (_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct().join(s.select(F.col("sym_id").alias("l_partkey"), "path"), "l_partkey")
-            .crossJoin(F.broadcast(top)).withColumn("target", (7 * F.col("l_partkey") + 3) % F.col("m")).join(called, "target")
+            .withColumn("target", (7 * F.col("l_partkey") + 3) % top).join(called, "target")
             .select((F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("ref_id"), "name", "path"))
     return relations.candidates(refs, s)
 
