@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.storage import keep
+from ..functions.storage import keep, spread
 from ..operators import graph, lexical, relations
 from ..sources import crawl
 from ..sources.extract import extract_file
@@ -50,10 +50,13 @@ SUBTOKENS_SQL = (
 WITH t AS (SELECT doc_id, unnest({SUBTOKENS_SQL.format('text')}) AS tok FROM documents)
 SELECT tok, count(*) AS n, count(DISTINCT doc_id) AS df FROM t GROUP BY tok""")
 def subtoken_freq(spark, sf_dir):
-    t = _table(spark, sf_dir, "documents").select("doc_id", T.subtokens(F.col("text")).alias("toks"))
-    # Counting within the document first leaves one row a document and token for the shuffle.
-    per = t.select("doc_id", F.explode("toks").alias("tok")).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy("tok").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("df"))
+    t = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.subtokens(F.col("text")).alias("toks"))
+    # Documents are counted by a token's first place in each, so one aggregation by token does, combined map-side.
+    both = F.concat("toks", F.transform(F.array_distinct("toks"), lambda t: F.concat(F.lit(" "), t)))
+    n = t.select(F.explode(both).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
+    first = F.col("tok").startswith(" ")
+    return n.groupBy(F.ltrim("tok").alias("tok")).agg(
+        F.sum(F.when(~first, F.col("c")).otherwise(0)).alias("n"), F.sum(F.when(first, F.col("c")).otherwise(0)).alias("df"))
 
 
 @query(f"""
@@ -69,7 +72,7 @@ def subtoken_camel(spark, sf_dir):
 
 
 def _doc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.explode(F.array(
         F.struct(F.substring_index("text", "\n", 1).alias("text"), F.lit(lexical.W_NAME).alias("w")),
         F.struct(F.col("text"), F.lit(lexical.W_BODY).alias("w")))).alias("f")).select("doc_id", "f.text", "f.w")
