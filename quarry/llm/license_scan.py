@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
 A block of text is compressed alone and with each license template as a raw zstandard dictionary. A template that
-the block copies makes it much smaller; templates are ranked by that reduction, and the best ones are confirmed by
-the exact differences in wording, from an alignment of the words.
+the block copies makes it much smaller; blocks that do are confirmed by the exact differences in wording, from an
+alignment of the words.
 
-Candidate blocks are the places where a word of a template's anchor stands: the block is cut so that the anchor
-lies where it lies in the template. Only documents that hold an anchor word leave the JVM.
+Candidate blocks are complete: a template that may differ in k words is cut into k + 1 pieces, and a block within
+that limit holds at least one piece word for word. Every place of every piece is extended to both sides by the
+alignment with the fewest differing words. Only documents that hold the longest word of a piece leave the JVM.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import lean, small_batches
 
-WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-/'][A-Za-z0-9]+)*")
-ANCHOR = re.compile(r"licen[sc]ed?s?|permission|redistributions?|copyright|warranty", re.I)
+WORD = re.compile(r"[A-Za-z0-9]+(?:[.'][A-Za-z0-9]+)*")
 MIN_REDUCTION = 0.2
 MAX_DIFFERENCE = 0.15  # differing words over the template's words
+ONE_WORD = 4  # templates of so many words may always differ in one
 LEVEL = 3
 MEMO = 50_000
 
@@ -54,6 +54,10 @@ TEMPLATES = {
 }
 
 
+#: Words that tell licenses apart: no difference may add one, or take one or a number away.
+NAMES = frozenset("mit apache mozilla bsd isc cc lesser library affero nc sa nd noncommercial sharealike noderivatives noderivs".split())
+
+
 @dataclass(frozen=True)
 class Match:
     license: str
@@ -64,63 +68,150 @@ class Match:
     differences: str
 
 
+def allowed(size: int) -> int:
+    """Differing words that a template of `size` words may have."""
+    return max(int(MAX_DIFFERENCE * size), int(size >= ONE_WORD))
+
+
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in WORD.findall(text)]
+
+
+def pieces(words: list[str]) -> list[tuple[int, int]]:
+    """Begin and end of the pieces of which one is whole in any block within the template's limit."""
+    n = allowed(len(words)) + 1
+    at = [len(words) * i // n for i in range(n + 1)]
+    return list(zip(at, at[1:], strict=False))
+
+
+def key_of(piece: list[str]) -> int:
+    """Place of a piece's longest word, as the rarest."""
+    return max(range(len(piece)), key=lambda i: len(piece[i]))
+
+
+def extend(words: list[str], text: list[str], most: int) -> tuple[int, int, list[tuple[str, str]]] | None:
+    """Fewest differing words between `words` and a beginning of `text`, that beginning's length, and the word pairs.
+
+    Of beginnings that tie, the one nearest to the template's length is taken. None above `most` differences.
+    """
+    far = most + 1
+    rows = [{j: j for j in range(min(most, len(text)) + 1)}]
+    for i, w in enumerate(words, 1):
+        last, row = rows[-1], {}
+        for j in range(max(0, i - most), min(len(text), i + most) + 1):
+            d = last.get(j, far) + 1
+            if j:
+                d = min(d, row.get(j - 1, far) + 1, last.get(j - 1, far) + (w != text[j - 1]))
+            if d <= most:
+                row[j] = d
+        if not row:
+            return None
+        rows.append(row)
+    n, _, j = min((d, abs(j - len(words)), j) for j, d in rows[-1].items())
+    end, i, pairs = j, len(words), []
+    while i or j:
+        d = rows[i][j]
+        if i and j and rows[i - 1].get(j - 1, far) + (words[i - 1] != text[j - 1]) == d:
+            i, j = i - 1, j - 1
+            pairs.append((words[i], text[j]))
+        elif i and rows[i - 1].get(j, far) + 1 == d:
+            i -= 1
+            pairs.append((words[i], ""))
+        else:
+            j -= 1
+            pairs.append(("", text[j]))
+    return n, end, pairs[::-1]
+
+
+def spoken(pairs: list[tuple[str, str]]) -> str:
+    """The runs of differing words, as `template -> text`."""
+    runs, run = [], []
+    for p in [*pairs, ("", "")]:
+        if p[0] != p[1]:
+            run.append(p)
+        elif run:
+            runs.append(" -> ".join(" ".join(w for w in side if w) for side in zip(*run, strict=True)))
+            run = []
+    return "; ".join(runs)
+
+
+def renames(pairs: list[tuple[str, str]]) -> bool:
+    """Whether the differences make another license of it: a name or number goes, or a name comes."""
+    plain = lambda w: w.removesuffix(".0")
+    gone = [plain(a) for a, b in pairs if a != b and (a in NAMES or a[:1].isdigit())]
+    come = [plain(b) for a, b in pairs if a != b]
+    return any(w not in come for w in gone) or any(w in NAMES and w not in gone for w in come)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         import zstandard
 
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.templates = []
+        self.pieces: dict[str, list[tuple[int, int, int, int]]] = {}
         for name, text in templates.items():
-            words = [w.lower() for w in WORD.findall(text)]
-            anchors = [i for i, w in enumerate(words) if ANCHOR.fullmatch(w)]
+            words = words_of(text)
+            if not words:
+                continue
             data = " ".join(words).encode()
             # A dictionary needs a few bytes more than short notices have; the repeat adds no new wording.
             raw = zstandard.ZstdCompressionDict(data * max(1, -(-64 // len(data))), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            if anchors:
-                press = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
-                self.templates.append((name, words, anchors[0], press))
-        self.memo: dict[str, tuple] = {}
-
-    def judge(self, index: int, block: list[str]) -> tuple[float, int, str]:
-        """Reduction and wording differences of a block against a template."""
-        name, words, _, press = self.templates[index]
-        key = f"{index} {' '.join(block)}"
+            press = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
+            for a, b in pieces(words):
+                key = a + key_of(words[a:b])
+                self.pieces.setdefault(words[key], []).append((len(self.templates), a, b, key))
+            self.templates.append((name, words, press))
+        self.memo: dict[str, float] = {}
+
+    def reduction(self, index: int, block: list[str]) -> float:
+        """How much smaller a block is with a template as dictionary."""
+        text = " ".join(block)
+        key = f"{index} {text}"
         if key not in self.memo:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            data = " ".join(block).encode()
-            reduction = 1 - len(press.compress(data)) / len(self.alone.compress(data))
-            n, said = 0, ""
-            if reduction >= MIN_REDUCTION:
-                ops = [o for o in SequenceMatcher(None, words, block, autojunk=False).get_opcodes() if o[0] != "equal"]
-                n = sum(max(b - a, d - c) for _, a, b, c, d in ops)
-                said = "; ".join(f"{' '.join(words[a:b])} -> {' '.join(block[c:d])}" for _, a, b, c, d in ops)
-            self.memo[key] = (reduction, n, said)
+            data = text.encode()
+            self.memo[key] = 1 - len(self.templates[index][2].compress(data)) / len(self.alone.compress(data))
         return self.memo[key]
 
+    def align(self, index: int, a: int, b: int, words: list[str], at: int) -> tuple[int, int, int, list[tuple[str, str]]] | None:
+        """(begin, end, differences, pairs) of the best block whose words from `at` are the template's piece a to b."""
+        tw = self.templates[index][1]
+        most, first = allowed(len(tw)), at - a
+        if first >= 0 and words[first:first + len(tw)] == tw:
+            return first, first + len(tw), 0, []
+        left = extend(tw[:a][::-1], words[max(0, first - most):at][::-1], most)
+        if left is None:
+            return None
+        stop = at + b - a
+        right = extend(tw[b:], words[stop:first + len(tw) + most], most - left[0])
+        if right is None:
+            return None
+        return at - left[1], stop + right[1], left[0] + right[0], left[2][::-1] + [(w, w) for w in tw[a:b]] + right[2]
+
+    def hits(self, words: list[str]) -> list[tuple[int, int, int, float, int, str]]:
+        """(template, begin, end, reduction, differences, their wording) of every block within the limits."""
+        found = {}
+        for i, w in enumerate(words):
+            for t, a, b, key in self.pieces.get(w, ()):
+                at, tw = i - (key - a), self.templates[t][1]
+                if at < 0 or words[at:at + b - a] != tw[a:b] or (got := self.align(t, a, b, words, at)) is None:
+                    continue
+                begin, end, n, pairs = got
+                if n and renames(pairs):
+                    continue
+                if (t, begin, end) not in found and (reduction := self.reduction(t, words[begin:end])) >= MIN_REDUCTION:
+                    found[t, begin, end] = (t, begin, end, reduction, n, spoken(pairs))
+        return list(found.values())
+
     def scan(self, text: str) -> list[Match]:
         found = list(WORD.finditer(text))
-        words = [m.group().lower() for m in found]
-        hits = []
-        for i, w in enumerate(words):
-            if not ANCHOR.fullmatch(w):
-                continue
-            ranked = []
-            for t, (name, tw, anchor, _) in enumerate(self.templates):
-                a = i - anchor
-                block = words[max(0, a):a + len(tw)]
-                # The same wording must end where the template ends; a cut text has fewer words.
-                if a >= 0 and len(block) * 2 > len(tw):
-                    reduction, n, said = self.judge(t, block)
-                    ranked.append((reduction, len(tw), name, a, a + len(block), n, said))
-            ranked.sort(reverse=True)
-            for reduction, size, name, a, b, n, said in ranked:
-                if reduction >= MIN_REDUCTION and n <= MAX_DIFFERENCE * size:
-                    hits.append((size, reduction, -a, Match(name, found[a].start(), found[b - 1].end(), reduction, n, said)))
-                    break
-        # Of overlapping winners the longest template stays.
+        # Of overlapping blocks the longest template's stays, then the one with the fewest differences.
+        order = lambda h: (-len(self.templates[h[0]][1]), h[4], -h[3], h[1], self.templates[h[0]][0], h[2])
         out: list[Match] = []
-        for *_, m in sorted(hits, key=lambda h: h[:3], reverse=True):
+        for t, a, b, reduction, n, said in sorted(self.hits([m.group().lower() for m in found]), key=order):
+            m = Match(self.templates[t][0], found[a].start(), found[b - 1].end(), reduction, n, said)
             if all(m.end <= o.start or m.start >= o.end for o in out):
                 out.append(m)
         return sorted(out, key=lambda m: m.start)
@@ -130,7 +221,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     """One row for each license notice found: id, license, start_char, end_char, reduction, n_diff, differences.
 
     Whole texts are scanned. Null, empty and clean texts give no rows; repeated rows and null ids give theirs each;
-    notices that tie are ranked by their template's length, then its name. Other columns are ignored.
+    notices that overlap are ranked by their template's length, then by the fewest differences.
+    A block differs from its template in at most MAX_DIFFERENCE of the words, and in one at least where the template has
+    ONE_WORD words; a difference that makes another license of it (see NAMES) is none of this template. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     chosen = TEMPLATES if templates is None else templates
@@ -150,6 +243,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
                 ["id", "license", "start_char", "end_char", "reduction", "n_diff", "differences"])
 
     kind = dict(docs.dtypes)[id_col]
-    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(f"(?i){ANCHOR.pattern}"))
+    keys = sorted({words[a:b][key_of(words[a:b])] for words in map(words_of, chosen.values()) if words for a, b in pieces(words)})
+    if not keys:
+        keys = ["(?!)"]
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
+        F.col("text").rlike(f"(?i)(?<![A-Za-z0-9])(?:{'|'.join(k.replace('.', '[.]') for k in keys)})"))
     out = held.mapInArrow(lean(run), f"id {kind}, license string, start_char bigint, end_char bigint, reduction double, n_diff int, differences string")
     return out.withColumnRenamed("id", id_col)
