@@ -460,6 +460,14 @@ def impact_depth3(spark, sf_dir):
     return graph.reach(edges, start, 3)[0].select(F.col("sym_id").alias("part"), "level")
 
 
+@query()
+def impact_whole(spark, sf_dir):
+    """Everything that reaches part 1, without a depth."""
+    edges = keep(part_edges(spark, sf_dir), "edges")
+    start = spark.range(1).select(F.lit(1).cast("bigint").alias("sym_id"))
+    return graph.reach(edges, start)[0].select(F.col("sym_id").alias("part"), "level")
+
+
 @query(f"""
 WITH RECURSIVE {EDGES_SQL.strip()}, o AS (SELECT p_partkey AS o FROM part WHERE p_brand = 'Brand#11'),
 r AS (SELECT o, o AS v, 0 AS lev FROM o UNION SELECT r.o, e.src, r.lev + 1 FROM r JOIN e ON e.dst = r.v WHERE r.lev < 2)
@@ -470,6 +478,14 @@ def amp_depth2(spark, sf_dir):
     return graph.reach_sizes(edges, origins, 2).select(F.col("origin").alias("part"), "amp")
 
 
+@query()
+def amp_whole(spark, sf_dir):
+    """amp_depth2's parts without a depth: all that reaches each of them."""
+    edges = keep(part_edges(spark, sf_dir), "edges")
+    origins = _table(spark, sf_dir, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("sym_id"))
+    return graph.reach_sizes(edges, origins).select(F.col("origin").alias("part"), "amp")
+
+
 # Extraction ---------------------------------------------------------------------------------------------------
 
 @query("""
