@@ -166,6 +166,14 @@ def line_of_byte(spark, sf_dir):
     return d.select("doc_id", "upto", T.line_of_byte(F.col("b"), F.col("upto").cast("int")).alias("line"))
 
 
+@query()
+def line_of_byte_whole(spark, sf_dir):
+    """line_of_byte at offsets over the whole length of a text, its end included."""
+    upto = (F.col("doc_id") * 7919) % (F.octet_length("text") + 1)
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("b"), upto.alias("upto"))
+    return d.select("doc_id", "upto", T.line_of_byte(F.col("b"), F.col("upto").cast("int")).alias("line"))
+
+
 @query(r"""
 SELECT doc_id, rtrim(regexp_replace(rtrim(string_split(text, chr(10))[1], E' \t\r\x0b\x0c'), '\{+$', ''), E' \t\r\x0b\x0c') AS sig FROM documents""")
 def signature_line(spark, sf_dir):
