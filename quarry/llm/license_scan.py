@@ -51,11 +51,50 @@ TEMPLATES = {
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
         "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    "BSD-3-Clause-text": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."),
+    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
+    "ISC": "Released under the ISC License.",
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies."),
+    "MIT-licensed": "This project is MIT licensed.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "MPL-2.0": "Released under the Mozilla Public License 2.0.",
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at"),
+    "Unlicense-text": "This is free and unencumbered software released into the public domain.",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    **{f"SPDX-{x}": f"SPDX-License-Identifier: {x}" for x in (
+        "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "ISC", "BSD-2-Clause", "BSD-3-Clause")},
 }
 
 
 #: Words that tell licenses apart: no difference may add one, or take one or a number away.
-NAMES = frozenset("mit apache mozilla bsd isc cc lesser library affero nc sa nd noncommercial sharealike noderivatives noderivs".split())
+NAMES = frozenset("mit apache mozilla mpl bsd isc cc gpl lgpl agpl lesser library affero nc sa nd noncommercial sharealike noderivatives noderivs".split())
+NUMBER = re.compile(r"v?([0-9][0-9.]*?)(?:[.]0)?")
 
 
 @dataclass(frozen=True)
@@ -137,8 +176,8 @@ def spoken(pairs: list[tuple[str, str]]) -> str:
 
 def renames(pairs: list[tuple[str, str]]) -> bool:
     """Whether the differences make another license of it: a name or number goes, or a name comes."""
-    plain = lambda w: w.removesuffix(".0")
-    gone = [plain(a) for a, b in pairs if a != b and (a in NAMES or a[:1].isdigit())]
+    plain = lambda w: m[1] if (m := NUMBER.fullmatch(w)) else w
+    gone = [plain(a) for a, b in pairs if a != b and (a in NAMES or NUMBER.fullmatch(a))]
     come = [plain(b) for a, b in pairs if a != b]
     return any(w not in come for w in gone) or any(w in NAMES and w not in gone for w in come)
 

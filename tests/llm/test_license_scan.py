@@ -30,6 +30,13 @@ def test_another_license_is_no_difference(spark):
     assert got == set()
 
 
+def test_every_template_finds_itself(spark):
+    assert {"GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "ISC", "BSD-3-Clause"} <= set(L.TEMPLATES)
+    names = list(L.TEMPLATES)
+    got = scan(spark, [f"Some words before. {L.TEMPLATES[n]} Some words after." for n in names])
+    assert [(i, n) for i, n in sorted(got)] == list(enumerate(names)) and all(r.n_diff == 0 for r in got.values())
+
+
 def least(words, block):
     """Plain edit distance."""
     row = list(range(len(block) + 1))
