@@ -22,9 +22,11 @@ def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame) -> DataFr
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter have no language and go."""
+    """Documents without a letter have no language and go. Where no language can be learned, all others stay."""
     words = lang_id.sample_words(docs, "doc_id", "text", "lang")
     net = lang_id.train(words) if any(words.values()) else None
+    if net is None:
+        return lang_id.lettered(spark, docs)
     judged = lang_id.predict(spark, docs, net, "text", "__lang", "__score")
     return judged.where(F.col("__lang") != lang_id.UNKNOWN).select(docs.columns)
 

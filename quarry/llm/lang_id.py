@@ -254,6 +254,18 @@ def predict(spark: SparkSession, docs: DataFrame, net: Network | None, text_col:
     return docs.mapInArrow(lean(run), f"{fields}, `{lang_out}` string, `{score_out}` double")
 
 
+def lettered(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter, by the test that predict() applies."""
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column(text_col)]
+            yield b.filter(pa.array([bool(t and (w := runs(t)) and has_letter(t, w)) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(lean(run), docs.schema)
+
+
 def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score) for each row of docs.
 
