@@ -15,10 +15,15 @@ from quarry.llm.queries import byte_codec
 BROADCAST_ROWS = 200_000
 
 
-def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids of `dropped`; rows with a null id stay."""
-    ids = Scratch(spark, "dropped").keep(dropped.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(docs.columns)
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with `__row`, a number of its own for each row; written, so that every read sees the same numbers."""
+    return Scratch(spark, "rows").keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(spark: SparkSession, rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows without those whose `__row` is in `dropped`, and without that column."""
+    ids = Scratch(spark, "dropped").keep(dropped.select("__row"), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "__row", "left_anti").select([c for c in rows.columns if c != "__row"])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +37,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays."""
-    groups = near_dedup.near_duplicates(spark, docs.select("doc_id", "text"))
-    return _without(spark, docs, groups.where("not kept"))
+    """The document with the smallest id of each group of near-duplicates stays; a null id comes last."""
+    rows = _numbered(spark, docs)
+    groups = near_dedup.near_duplicates(spark, rows.select("__row", "text"), id_col="__row").select("__row", "component_id")
+    member = groups.join(rows.select("__row", "doc_id"), "__row")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("m")).select("m.__row")
+    return _without(spark, rows, rows.select("__row").join(first, "__row", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of a benchmark item go."""
-    judged = decontam.decontaminate(spark, docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return _without(spark, docs, judged.where("contaminated"))
+    rows = _numbered(spark, docs)
+    judged = decontam.judge(spark, rows.select("__row", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), "__row")
+    return _without(spark, rows, judged.where("contaminated"))
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def phrase_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, windo
     document that holds a window of some item: spans lists the covered word ranges [from, to), sorted and merged,
     items the distinct items. A window is `window` consecutive words of an item, or all words of a shorter one.
     Null texts have no words, and neither do items without any. Null ids of documents are matched by no join, so
-    they are indexed and counted but never match: give rows ids first. Other columns are ignored.
+    they are indexed and counted but never match: decontaminate() gives rows ids first. Other columns are ignored.
     """
     own = item_words(items, item_col, item_text_col)
     index = PositionalIndex.build(spark, docs, own.select(F.explode("words").alias("word")).distinct(), id_col, text_col)
@@ -166,14 +166,9 @@ def proximity_matches(index: PositionalIndex, phrases: DataFrame, slop: int) ->
     return near.groupBy("doc", "phrase", "start", "n").agg(F.count_distinct("offset").alias("found")).where("found = n").select("doc", "phrase", "start")
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_words, n_hit, n_items, items (array), contaminated.
-
-    A word inside any occurrence of an item's window is hit; contaminated: n_hit > 0 and 20 * n_hit >= n_words.
-    Ids should be unique; rows that repeat an id are judged each with the spans of all of them. Documents without
-    words, empty tables and items without words give no hits.
-    """
+def judge(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """decontaminate() for ids that are unique and not null."""
     lengths, found = phrase_matches(spark, docs, items, WINDOW, id_col, text_col, item_col, item_text_col)
     hit = F.aggregate("spans", F.lit(0), lambda s, x: s + x["to"] - x["from"]).cast("bigint")
     verdict = found.select("doc", hit.alias("n_hit"), "items")
@@ -182,3 +177,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col
     return out.select(
         F.col("doc").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
         "items", ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id, n_words, n_hit, n_items, items (array), contaminated.
+
+    A word inside any occurrence of an item's window is hit; contaminated: n_hit > 0 and 20 * n_hit >= n_words.
+    Every row is judged by its own text, whether its id is null or repeated: rows are numbered first and written.
+    Documents without words, empty tables and items without words give no hits.
+    """
+    rows = Scratch(spark, "decontam-rows").keep(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rows")
+    judged = judge(spark, rows, items, "row", "text", item_col, item_text_col)
+    return judged.join(rows.select("row", F.col("id").alias("__id")), "row").select(
+        F.col("__id").alias(id_col), "n_words", "n_hit", "n_items", "items", "contaminated")
