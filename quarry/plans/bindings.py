@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..functions.storage import keep, spread
 from ..operators import graph, lexical, relations
 from ..sources import crawl
-from ..sources.extract import extract_file
+from ..sources.extract import extract_file, html_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -517,8 +517,20 @@ def json_keys(spark, sf_dir):
 
 @query(r"""SELECT page_id, count(*) AS n, min(v) AS first_value FROM (SELECT page_id, unnest(regexp_extract_all(decode(html), '<[A-Za-z][^<>]*?\s(href)\s*=\s*"([^"]*)"', 2)) AS v FROM pages) GROUP BY page_id""".replace("decode(html)", "html"))
 def html_attrs(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit(r'<[A-Za-z][^<>]*?\s(href)\s*=\s*"([^"]*)"'), F.lit(2))
-    pages = _table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("v"))
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            ids, values = [], []
+            for key, html in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
+                src = (html or "").encode()
+                # A definition's span runs from the attribute's name to the end of its value.
+                got = [src[d[4]:d[5]].split(b"=", 1)[1].strip() for d in html_file(src, "href").defs]
+                ids += [key] * len(got)
+                values += [(v[1:-1] if v[:1] in (b'"', b"'") else v).decode() for v in got]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], ["page_id", "v"])
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(run, "page_id bigint, v string")
     return pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first_value"))
 
 

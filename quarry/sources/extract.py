@@ -294,12 +294,13 @@ def yaml_file(src: bytes) -> Found:
     return found
 
 
-HTML_ID = re.compile(rb"<[A-Za-z][^<>]*?\s(?P<name>id)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+HTML_ATTR = rb"<[A-Za-z][^<>]*?\s(?P<name>%s)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"
 
 
-def html_file(src: bytes) -> Found:
+def html_file(src: bytes, attr: str = "id") -> Found:
     found = Found(src)
-    for m in HTML_ID.finditer(re.sub(rb"<!--.*?-->", lambda c: re.sub(rb"[^\n]", b" ", c.group()), src, flags=re.S)):
+    pattern = re.compile(HTML_ATTR % re.escape(attr.encode()), re.I)
+    for m in pattern.finditer(re.sub(rb"<!--.*?-->", lambda c: re.sub(rb"[^\n]", b" ", c.group()), src, flags=re.S)):
         found.add(m.group("name").decode(), "sec", m.start("name"), m.end())
     return found
 
