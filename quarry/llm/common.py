@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +16,84 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 SLICE_ROWS = 2_000
+# Rows of a side that may be broadcast, counted before each use; larger sides are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+# Words of 64 bits of a Bloom filter that is broadcast, whatever the number of its keys.
+SLOTS = 1 << 20
+# At most so many hot keys are broadcast: a key is hot from the (rows / HOT_KEYS)th row on.
+HOT_KEYS = 100_000
+COLD_ROWS = 64
 
 _own_dir: dict[str, str] = {}
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """`name`, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    """df, to be broadcast if its n rows may be."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def hot_from(n: int) -> int:
+    """The number of rows from which one of n rows' keys counts as hot; at most HOT_KEYS keys have more."""
+    return max(COLD_ROWS, n // HOT_KEYS)
+
+
+def join_sized(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int) -> DataFrame:
+    """rows joined to groups, which has one row a key and the number `size` of its n rows in all.
+
+    Hot keys' groups are broadcast, so that their rows stay where they are; the others are shuffled, and none of
+    them has more than hot_from(n) rows. Both sides are read twice and should be written tables.
+    """
+    most = hot_from(n)
+    hot = groups.where(F.col(size) > most)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) <= most), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def _bits(h: str) -> str:
+    return " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(`{h}`, {20 + 6 * i}) & 63 as int))" for i in range(4))
+
+
+def perhaps_in(rows: DataFrame, key: str, keys: DataFrame, n: int, flag: str) -> DataFrame:
+    """rows with the boolean `flag`: false where `keys` (n rows, column `key`) surely lacks the row's key.
+
+    A Bloom filter of at most SLOTS words, joined by its word's place, so that rows of other keys need no shuffle.
+    """
+    slots = min(SLOTS, 1 << max(10, (n // 4).bit_length()))
+    hashed = keys.select(F.xxhash64(key, F.lit(77)).alias("h"))
+    words = hashed.select(F.expr(f"h & {slots - 1}L").alias("slot"), F.expr(_bits("h")).alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    h, at, held = (free_name(rows.columns, x) for x in ("bloom_hash", "bloom_slot", "bloom_bits"))
+    own = rows.withColumn(h, F.xxhash64(key, F.lit(77)))
+    met = own.join(F.broadcast(words.select(F.col("slot").alias(at), F.col("bits").alias(held))), F.expr(f"`{h}` & {slots - 1}L") == F.col(at), "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.expr(f"coalesce(`{held}` & ({_bits(h)}), 0) = ({_bits(h)})").alias(flag))
+
+
+def semi_rows(rows: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
+    """rows to be joined to keys (n rows): all of them where keys will be broadcast, else those that may meet one."""
+    if n <= BROADCAST_ROWS:
+        return rows
+    flag = free_name(rows.columns, "perhaps")
+    return perhaps_in(rows, key, keys, n, flag).where(F.col(flag)).drop(flag)
+
+
+def without_keys(rows: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
+    """rows whose key is not among the n keys. Only rows that a Bloom filter does not clear are shuffled."""
+    keys = keys.select(key)
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), key, "left_anti").select(rows.columns)
+    flag = free_name(rows.columns, "perhaps")
+    marked = perhaps_in(rows, key, keys, n, flag)
+    doubted = marked.where(F.col(flag)).drop(flag).join(keys, key, "left_anti")
+    return marked.where(~F.col(flag)).drop(flag).unionByName(doubted).select(rows.columns)
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers stay for later tasks, and idle ones should hold little."""
     gc.collect()
@@ -87,10 +161,10 @@ class Scratch:
         self._n += 1
         return f"{self.base}/{self._n:03d}-{label}"
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
-        """Write df as Parquet and return a reader of it."""
+    def keep(self, df: DataFrame, label: str, **options: str) -> DataFrame:
+        """Write df as Parquet, with the writer's options, and return a reader of it."""
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quarry_path = path
         return out
