@@ -4,6 +4,11 @@ Pass 1 hashes every normalised text and builds, partition by partition, a Bloom
 what was seen again; merging partitions ORs both and adds to the second what both sides had seen. Pass 2 tests
 every hash against the second filter: a hash that it lacks occurs once, so its row passes straight through. Only
 the rest shuffles, and is grouped by the whole hash, so false positives cost a shuffle and never a result.
+
+A filter has BITS_A_ROW bits a row at any size. Where that is more than `range_bits`, hashes are dealt to ranges by
+their first bits, and each range is built and tested by itself, where its rows lie: hashes are written in order of
+their ranges, so a range reads its own row groups only, and one filter of at most range_bits is broadcast at a time.
+Of the rows that shuffle, those of texts with very many copies stay in place: their few groups are broadcast.
 """
 
 from __future__ import annotations
@@ -17,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch
+from .common import WHITE, Scratch, join_sized
 
 HASHES = 4
 BITS_A_ROW = 16
-MAX_BITS = 1 << 29  # 64 MB: the filter that is broadcast never grows beyond it; more rows then shuffle
+RANGE_BITS = 1 << 29  # 64 MB: the filter of one range, which is broadcast; more rows have more ranges
 CHUNK_BITS = 1 << 20
+LANE_BITS = 30  # of a hash, to deal it to ranges
 
 
 def strip_white(text: Column) -> Column:
@@ -93,7 +99,7 @@ def build_repeat_filter(hashed: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def dedup_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bits: int = RANGE_BITS) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256), one row for each row of docs, dropped ones too.
 
     Texts are equal when they are the same without white space [\\x20\\x09-\\x0D]; null counts as empty, and empty
@@ -103,29 +109,44 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """
     scratch = Scratch(spark, "exact-dedup")
     text = F.col(text_col)
+    digest = F.sha2(strip_white(text), 256)
     hashed = scratch.keep(docs.select(
         F.col(id_col).alias("id"),
-        F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("chars"),
-        F.unhex(F.sha2(strip_white(text), 256)).alias("digest")), "hashes")
+        F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("chars"), digest.alias("hex")).select(
+            "id", "chars", F.unhex("hex").alias("digest"),
+            # The last bits: positions in a filter come from the first ones.
+            F.shiftright(F.conv(F.substring("hex", -8, 8), 16, 10).cast("bigint"), 32 - LANE_BITS).alias("lane")).sortWithinPartitions("lane"), "hashes")
     n = hashed.count()
-    bits = min(MAX_BITS, 1 << max(16, math.ceil(math.log2(max(1, n) * BITS_A_ROW))))
-    again = spark.sparkContext.broadcast(build_repeat_filter(hashed, bits))
+    wanted = 1 << max(16, math.ceil(math.log2(max(1, n) * BITS_A_ROW)))
+    ranges = max(1, min(1 << LANE_BITS, wanted // range_bits))
+    bits, width = wanted // ranges, (1 << LANE_BITS) // ranges
+    flagged = None
+    for i in range(ranges):
+        own = hashed if ranges == 1 else hashed.where((F.col("lane") >= i * width) & (F.col("lane") < (i + 1) * width))
+        again = spark.sparkContext.broadcast(build_repeat_filter(own, bits))
+        part = scratch.keep(own.select("id", "chars", "digest").mapInArrow(_flag(again, bits), f"id {dict(hashed.dtypes)['id']}, chars bigint, digest binary, maybe boolean"), "flagged")
+        again.unpersist()
+        flagged = part if flagged is None else flagged.unionByName(part)
+    scratch.drop(hashed)
+    once = flagged.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "digest")
+    maybe = flagged.where("maybe").select("id", "chars", "digest")
+    groups = scratch.keep(maybe.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("group_size"),
+        F.min(F.struct((-F.col("chars")).alias("chars"), F.col("id").alias("keep_id"))).alias("best")), "groups")
+    many = join_sized(maybe, groups, "digest", "group_size", n).select("id", F.col("best.keep_id").alias("keep_id"), "group_size", "digest")
+    return once.unionByName(many).select(
+        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"))
+
 
-    def flag(batches):
+def _flag(again, bits: int):
+    """Batches with `maybe`: whether the filter `again` has the row's hash."""
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = again.value
         for batch in batches:
             pos = _positions(_fixed(batch.column("digest")), bits)
             hit = ((filled[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "maybe"])
 
-    kind = dict(hashed.dtypes)["id"]
-    flagged = scratch.keep(hashed.mapInArrow(flag, f"id {kind}, chars bigint, digest binary, maybe boolean"), "flagged")
-    once = flagged.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "digest")
-    maybe = flagged.where("maybe")
-    groups = maybe.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.min(F.struct((-F.col("chars")).alias("chars"), F.col("id").alias("keep_id"))).alias("best"))
-    many = maybe.join(groups, "digest").select("id", F.col("best.keep_id").alias("keep_id"), "group_size", "digest")
-    return once.unionByName(many).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+    return flag
