@@ -183,7 +183,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     roots by doubling, and edges are rewritten to roots; edges inside one root go. At least half of the vertices
     disappear in a round, so rounds and the doubling steps of each grow with the logarithm of the graph. Labels and
     edges stay distributed; each step is written to the shared folder. A hub's neighbours are reduced to a
-    minimum before any shuffle.
+    minimum before any shuffle; where labels are followed to a hub, rows are two numbers, and a partition that grows
+    beyond the skew threshold of adaptive execution is split by it.
     """
     left = scratch.keep(edges.select("a", "b").where("a <> b").distinct(), "cc-edges")
     label = None

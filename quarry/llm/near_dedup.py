@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, lean, small_batches
+from .common import Scratch, connected_components, join_sized, lean, semi_rows, small, small_batches
 
 BUCKET_BITS = 8
 REGISTERS = 1 << BUCKET_BITS
@@ -33,11 +33,10 @@ MANTISSA = 10
 # Chance that two different minima compress to the same register, from the sketch's analysis: 0.1699 / 2**MANTISSA.
 COLLISION = 0.169919487159739 / (1 << MANTISSA)
 MISS = 1e-6
-BLOCK = 512
+BLOCK = 128
 PIVOTS = 8
 SURE = 48  # smaller sets are compared without an estimate
 MARGIN = 6  # standard deviations of the estimate
-BROADCAST_ROWS = 200_000
 CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20)
@@ -207,10 +206,6 @@ def block_links(ids: list, comps: list, sets: list[np.ndarray], percent: int) ->
             yield ids[i], ids[j]
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def _verify(spark: SparkSession, texts: DataFrame, members: DataFrame, n: int, percent: int, words: int) -> DataFrame:
     """Links (a, b) of members (rep, grp, blk, comp): every block's members are brought together once."""
 
@@ -243,7 +238,7 @@ def _verify(spark: SparkSession, texts: DataFrame, members: DataFrame, n: int, p
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k in (0, 1)], ["a", "b"])
 
     kind = dict(members.dtypes)["rep"]
-    own = texts.join(_small(members, n), texts["id"] == members["rep"]).select("rep", "grp", "blk", "comp", "text")
+    own = semi_rows(texts, "id", members.select(F.col("rep").alias("id")).distinct(), n).withColumnRenamed("id", "rep").join(small(members, n), "rep").select("rep", "grp", "blk", "comp", "text")
     sets = own.mapInArrow(lean(to_sets), f"rep {kind}, grp {kind}, blk string, comp {kind}, hashes binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = sets.repartition(parts, "grp", "blk").sortWithinPartitions("grp", "blk", "rep")
@@ -284,11 +279,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     sketches = scratch.keep(texts.mapInArrow(lean(sketch), f"id {kind}, n bigint, print binary, keys array<bigint>"), "sketches")
     whole = sketches.where(F.col("print").isNotNull() & F.col("id").isNotNull())
     # One of each class of equal sets; copies are reduced before the shuffle.
-    classes = scratch.keep(whole.groupBy("print").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
+    classes = scratch.keep(whole.groupBy("print").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "classes")
     # A key's classes are tied to its smallest one: a map-side minimum, then a join with one row a key.
     keyed = classes.select("rep", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    ties = keyed.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    hubs = scratch.keep(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "hubs")
+    ties = join_sized(keyed, hubs, "key", "m", bands * classes.count()).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     edges = scratch.keep(ties.distinct(), "ties")
     groups = connected_components(spark, edges, scratch)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
@@ -308,11 +303,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     if not large.isEmpty():
         links = links.unionByName(_across(spark, texts, large, comps, percent, words, scratch))
         comps = connected_components(spark, links, scratch)
-    label = classes.select("print", "rep").join(comps, F.col("rep") == F.col("v"), "left").select("print", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "n", "print").join(label, "print", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    label = scratch.keep(classes.select("print", "rep", "copies").join(comps, F.col("rep") == F.col("v"), "left").select(
+        "print", "copies", F.coalesce("component", "rep").alias("component")), "labels")
+    of_class = join_sized(whole.select("id", "n", "print"), label, "print", "copies", sketches.count()).select("id", "n", "component")
+    alone = sketches.where(F.col("print").isNull() | F.col("id").isNull()).select("id", "n", F.col("id").alias("component"))
+    return of_class.unionByName(alone).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept"))
 
 
 def _across(spark: SparkSession, texts: DataFrame, large: DataFrame, comps: DataFrame, percent: int, words: int, scratch: Scratch) -> DataFrame:
