@@ -1,14 +1,14 @@
 """Token counts of whole texts, with overlap resynchronisation for huge ones.
 
-A text of more than CHUNK characters is encoded as overlapping chunks, with offsets. Two neighbours are spliced at
-a common boundary inside their overlap: an ASCII white-space character that follows a non-space. The supported
-pre-tokenisers never let a token reach over such a place, so what lies left of it is encoded alike whatever
-follows, and what lies right of it whatever precedes. A splice also needs the tokens since another such boundary
-of the overlap to be the same in both chunks. Where an overlap has no such pair, the left chunk is widened, twice
-as far each time, to the end of the text if need be.
-
-Shorter texts are cut at every such boundary; equal pieces are then encoded once, which is what makes counting
-cheap. Both ways give the library's own count of the whole text (tests compare them).
+A text of more than CHUNK characters is encoded as overlapping chunks, with offsets; a shorter one is a single chunk.
+Two neighbours are spliced at a common boundary inside their overlap: an ASCII white-space character that follows a
+non-space. A pre-tokeniser that never lets a piece reach over such a place makes it a boundary: what lies left of it
+is encoded alike whatever follows, and what lies right of it whatever precedes. A splice also needs the tokens since
+another such boundary of the overlap to be the same in both chunks. Where an overlap has no such pair, the left chunk
+is widened, twice as far each time, to the end of the text if need be.
+
+Whether the pre-tokeniser parts text there is tried out when the file is loaded; where it does not, texts are encoded
+whole. Either way the counts are the library's own of the whole text (tests compare them).
 """
 
 from __future__ import annotations
@@ -25,16 +25,70 @@ from pyspark.sql import functions as F
 
 from .common import lean, small_batches
 
-CHUNK = 32_768
-OVERLAP = 1_024
-MEMO_PIECES = 500_000  # pieces that a worker remembers; beyond it the memory is emptied
+CHUNK = 8_192
+OVERLAP = 256
 BATCH_CHARS = 1 << 20
 # ASCII characters that the tokenisers' patterns, Python's and Rust's rules all call white space.
 CUT = re.compile(r"(?<=[^\s])[ \t\n\r]")
 
 
+def parts_at_white(pieces_of: Callable[[str], list[tuple[int, int]]]) -> bool:
+    """Whether no piece of some text reaches over a boundary: tried between characters of many kinds."""
+    kinds = ["a", "Z", "é", "語", "7", "!", "'", "'s", "_", "-", "\u0301", "\u00a0", "😀", "<|endoftext|>"]
+    for left in kinds:
+        for right in [*kinds, " ", "\n"]:
+            text = "".join(f"x{left}{w}{right}" for w in (" ", "\t", "\n", "\r"))
+            cuts = [m.start() for m in CUT.finditer(text)]
+            if any(a < p < b for a, b in pieces_of(text) for p in cuts):
+                return False
+    return True
+
+
+class JsonPart:
+    """The tokens of a chunk, asked for only where they are needed."""
+
+    def __init__(self, encoding, text: str):
+        self.e, self.text = encoding, text
+
+    def __len__(self) -> int:
+        return len(self.e)
+
+    def first_from(self, at: int) -> int:
+        """The first token from the boundary `at` on."""
+        for q in range(at, len(self.text)):
+            k = self.e.char_to_token(q)
+            if k is not None:
+                return k
+        return len(self.e)
+
+    def starts(self, i: int, j: int) -> list[int]:
+        return [self.e.token_to_chars(k)[0] for k in range(i, j)]
+
+    def ids(self, i: int, j: int) -> np.ndarray:
+        return np.array(self.e.ids[i:j], np.int64)
+
+
+class ArrayPart:
+    """Tokens as arrays of ids and of starts in code points."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray):
+        self.all, self.at = ids, at
+
+    def __len__(self) -> int:
+        return len(self.all)
+
+    def first_from(self, at: int) -> int:
+        return int(np.searchsorted(self.at, at))
+
+    def starts(self, i: int, j: int) -> list[int]:
+        return self.at[i:j].tolist()
+
+    def ids(self, i: int, j: int) -> np.ndarray:
+        return self.all[i:j]
+
+
 class JsonCodec:
-    """A tokenizers file whose pre-tokeniser drops white space."""
+    """A tokenizers file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,54 +97,41 @@ class JsonCodec:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.cuttable = self.library.pre_tokenizer is not None and parts_at_white(self._pieces)
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, start of each token in code points) of each text."""
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [(np.array(e.ids, np.int64), np.array([a for a, _ in e.offsets], np.int64)) for e in found]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def split_ascii(text: str) -> list[str]:
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
+    def _pieces(self, text: str) -> list[tuple[int, int]]:
+        return [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-class Memo(dict):
-    """Counts of pieces; `fill` encodes the unknown ones of a batch together."""
+    def encode(self, texts: list[str]) -> list[JsonPart]:
+        return [JsonPart(e, t) for e, t in zip(self.library.encode_batch(texts, add_special_tokens=False), texts, strict=True)]
 
-    def __init__(self, count: Callable[[list[str]], list[int]]):
-        super().__init__()
-        self.count = count
-
-    def fill(self, pieces: set[str]) -> None:
-        if len(self) > MEMO_PIECES:
-            self.clear()
-        new = [p for p in pieces if p not in self]
-        self.update(zip(new, self.count(new), strict=True))
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _splice(text: str, a: tuple, a_at: int, b: tuple, b_at: int, since: int, until: int) -> int | None:
+def _splice(text: str, a, a_at: int, b, b_at: int, since: int, until: int) -> int | None:
     """A proven common boundary p, since < p < until, of chunk a (begins at a_at) and chunk b (at b_at), or None."""
-    (a_ids, a_starts), (b_ids, b_starts) = a, b
-    at = None
+    last = None
     for m in CUT.finditer(text, since + 1, until):
         p = m.start()
-        if at is not None:
-            i, j = np.searchsorted(a_starts, (at - a_at, p - a_at))
-            k, n = np.searchsorted(b_starts, (at - b_at, p - b_at))
-            if np.array_equal(a_ids[i:j], b_ids[k:n]) and np.array_equal(a_starts[i:j] + a_at, b_starts[k:n] + b_at):
+        here = a.first_from(p - a_at), b.first_from(p - b_at)
+        if last is not None:
+            (at, i, k), (j, n) = last, here
+            if j - i == n - k and np.array_equal(a.ids(i, j), b.ids(k, n)) and [x + a_at for x in a.starts(i, j)] == [x + b_at for x in b.starts(k, n)]:
                 return p
-        at = p
+        last = (p, *here)
     return None
 
 
-def encode_long(codec, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
-    """The ids of a text of any length, from overlapping chunks."""
-    begins = list(range(0, max(1, len(text)), chunk))
+def spliced(codec, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple]:
+    """(part, i, j): the tokens of a text of any length are the tokens i to j of each part, in order."""
+    if len(text) <= chunk or not codec.cuttable:
+        part = codec.encode([text])[0]
+        yield part, 0, len(part)
+        return
+    begins = list(range(0, len(text), chunk))
     parts = codec.encode([text[s:s + chunk + overlap] for s in begins])
-    out, i, since = [], 0, 0  # chunk i's tokens from `since` on are wanted
+    i, since = 0, 0  # chunk i's tokens from `since` on are wanted
     while True:
         at, part, wide = begins[i], parts[i], overlap
         end = min(len(text), at + chunk + overlap)
@@ -102,14 +143,19 @@ def encode_long(codec, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
             wide *= 2
             end = min(len(text), end + wide)
             part = codec.encode([text[at:end]])[0]
-        first = np.searchsorted(part[1], since - at)
+        first = part.first_from(since - at) if since > at else 0
         if end == len(text):
-            out.append(part[0][first:])
-            return np.concatenate(out)
-        out.append(part[0][first:np.searchsorted(part[1], p - at)])
+            yield part, first, len(part)
+            return
+        yield part, first, part.first_from(p - at)
         i, since = after, p
 
 
+def encode_long(codec, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
+    """The ids of a text of any length."""
+    return np.concatenate([part.ids(i, j) for part, i, j in spliced(codec, text, chunk, overlap)])
+
+
 _codecs: dict[str, JsonCodec] = {}
 
 
@@ -120,28 +166,23 @@ def codec_for(path: str) -> JsonCodec:
     return _codecs[path]
 
 
-def count_texts(codec, texts: list[str | None], memo: Memo) -> list[int]:
+def count_texts(codec, texts: list[str | None]) -> list[int]:
     out = [0] * len(texts)
-    waiting: list[tuple[int, list[str]]] = []
-    unknown: set[str] = set()
+    single: list[int] = []
     held = 0
 
     def flush():
-        memo.fill(unknown)
-        for i, pieces in waiting:
-            out[i] = sum(map(memo.__getitem__, pieces))
-        waiting.clear()
-        unknown.clear()
+        for i, n in zip(single, codec.counts([texts[i] for i in single]), strict=True):
+            out[i] = n
+        single.clear()
 
     for i, text in enumerate(texts):
         if not text:
             continue
         if len(text) > CHUNK:
-            out[i] = len(encode_long(codec, text))
+            out[i] = sum(j - k for _, k, j in spliced(codec, text))
             continue
-        pieces = split_ascii(text)
-        waiting.append((i, pieces))
-        unknown.update(pieces)
+        single.append(i)
         held += len(text)
         if held > BATCH_CHARS:
             flush()
@@ -153,15 +194,15 @@ def count_texts(codec, texts: list[str | None], memo: Memo) -> list[int]:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each row of docs.
 
-    `tokenizer` is the path, on every executor, of a tokenizers .json file whose pre-tokeniser drops white space.
-    Null texts count as empty: no bytes, no tokens. Repeated rows and null ids stay; other columns are ignored.
+    `tokenizer` is the path, on every executor, of a tokenizers .json file. No special tokens are added, and their
+    strings inside texts are handled as the file says. Null texts count as empty: no bytes, no tokens. Texts of any
+    length are counted whole. Repeated rows and null ids stay; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(tokenizer)
-        memo = Memo(codec.counts)
         for batch in batches:
-            n = count_texts(codec, batch.column("text").to_pylist(), memo)
+            n = count_texts(codec, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
@@ -185,16 +226,22 @@ class ByteCodec:
         if self.eot >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(self.eot, np.int64)
+        for token, i in ranks.items():
+            self.sizes[i] = len(token)
+        import regex
+
+        self.cuttable = parts_at_white(lambda text: [m.span() for m in regex.finditer(pattern, text)])
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str]) -> list[ArrayPart]:
         out = []
         for t in texts:
-            ids = self.library.encode_ordinary(t)
-            ends = np.cumsum([len(self.library.decode_single_token_bytes(i)) for i in ids]) if ids else np.empty(0, np.int64)
+            ids = np.array(self.library.encode_ordinary(t), np.int64)
+            ends = np.cumsum(self.sizes[ids])
             # Byte offsets to code points: a token that starts inside a character belongs to that character.
             heads = np.cumsum((np.frombuffer(t.encode(), np.uint8) & 0xC0) != 0x80)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if ids else ends
-            out.append((np.array(ids, np.int64), heads[starts] - 1 if ids else starts))
+            starts = ends - self.sizes[ids]
+            out.append(ArrayPart(ids, heads[starts] - 1 if len(ids) else starts))
         return out
 
     def ids(self, text: str) -> bytes:
