@@ -5,10 +5,12 @@ own mix, a = 0 weighs all sources alike. The exponent is found by repeated secti
 raised as far as needed to keep every source at or below a number of repetitions of its tokens in the budget.
 
 A source's quota, w times the token budget, is realised as whole passes over its documents and a part of one more.
-The part is a block permutation: documents fall into blocks by a hash of the id, blocks are put in a keyed order,
-and blocks are taken whole while they fit; of the block at the cut, documents are taken in hash order while they
-fit. So a document's copies depend on its source's four numbers and two hashes: nothing but those numbers is
-joined to the documents, and texts are never shuffled.
+The part is a block permutation: documents fall into blocks of about BLOCK_TOKENS by a hash of the id, blocks are put
+in a keyed order, and blocks are taken whole while they fit; of the block at the cut, documents are taken in hash
+order while they fit. The cut is found by descent: tokens are summed by the first bits of the order, then, inside the
+range that holds the cut, by the next ones, until one block is left. So no step orders more than 2^DIGIT sums of a
+source, however large it is. A document's copies depend on its source's four numbers and two hashes: nothing but those
+numbers is joined to the documents, and texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,12 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, free_name, small
 
 BLOCK_TOKENS = 100_000
-MAX_BLOCKS = 4096  # of a source; larger sources have larger blocks
+DIGIT = 12  # bits of the order that a step of the descent looks at
 SECTIONS, ROUNDS = 24, 7
-BROADCAST_ROWS = 200_000
 MAX_EXPONENT = 8.0
 
 
@@ -83,22 +84,43 @@ class Plan:
     def __init__(self, sources: DataFrame, n_sources: int, exponent: float, key: int, id_col: str, source_col: str):
         self.sources, self.n_sources, self.exponent, self.key, self.id_col, self.source_col = sources, n_sources, exponent, key, id_col, source_col
 
-    def copies(self, docs: DataFrame) -> DataFrame:
-        """docs with `__mix_copies`, the number of times that each row is taken."""
-        # Names that no table has.
-        at = self.sources.select(F.col("source").alias("__mix_source"), *[F.col(c).alias(f"__mix_{c}") for c in ("passes", "blocks", "cut_block", "cut_doc")])
-        at = F.broadcast(at) if self.n_sources <= BROADCAST_ROWS else at
-        own, doc = docs[self.source_col].cast("string"), _hash(docs[self.id_col], self.key)
-        block = _block_hash(own, F.pmod(doc, F.col("__mix_blocks")), self.key)
-        part = (block < F.col("__mix_cut_block")) | ((block == F.col("__mix_cut_block")) & (doc <= F.col("__mix_cut_doc")))
-        found = docs.join(at, own.eqNullSafe(at["__mix_source"]), "left")
-        n = F.col("__mix_passes") + F.coalesce(part, F.lit(False)).cast("bigint")
-        return found.select(*[docs[c] for c in docs.columns], F.coalesce(n, F.lit(0)).alias("__mix_copies"))
+    def copies(self, docs: DataFrame, name: str) -> DataFrame:
+        """docs with `name`, the number of times that each row is taken."""
+        of, passes, blocks, cut_block, cut_doc = (free_name([*docs.columns, name], x) for x in ("mix_source", "mix_passes", "mix_blocks", "mix_cut_block", "mix_cut_doc"))
+        at = self.sources.select(
+            F.col("source").alias(of), F.col("passes").alias(passes), F.col("blocks").alias(blocks), F.col("cut_block").alias(cut_block), F.col("cut_doc").alias(cut_doc))
+        own, doc = F.col(f"`{self.source_col}`").cast("string"), _hash(F.col(f"`{self.id_col}`"), self.key)
+        block = _block_hash(own, F.pmod(doc, F.col(blocks)), self.key)
+        part = (block < F.col(cut_block)) | ((block == F.col(cut_block)) & (doc <= F.col(cut_doc)))
+        found = docs.join(small(at, self.n_sources), own.eqNullSafe(F.col(of)), "left")
+        n = F.col(passes) + F.coalesce(part, F.lit(False)).cast("bigint")
+        return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(n, F.lit(0)).alias(name))
 
     def realise(self, docs: DataFrame) -> DataFrame:
         """docs with each row as often as the mix takes it; columns as they were."""
-        taken = self.copies(docs).where("__mix_copies > 0")
-        return taken.withColumn("__mix_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "__mix_copies"))).drop("__mix_copies")
+        n = free_name(docs.columns, "mix_copies")
+        taken = self.copies(docs, n).where(F.col(n) > 0)
+        return taken.withColumn(n, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n)))).drop(n)
+
+
+def _cuts(blocked: DataFrame, wanted: DataFrame, n_sources: int, scratch: Scratch) -> DataFrame:
+    """(source, block, left): the first block, in order, that does not fit into its source's `rest` any more, and what
+    is left for it. blocked: source, block, tokens."""
+    state, known = wanted.select("source", F.col("rest").alias("left"), F.lit(0).cast("bigint").alias("prefix")), 64
+    while True:
+        shift = max(0, known - DIGIT)
+        inside = F.lit(0).cast("bigint") if known == 64 else F.shiftright("block", known)
+        at = small(state.select(F.col("source").alias("s"), "left", "prefix"), n_sources)
+        met = blocked.join(at, F.col("source").eqNullSafe(F.col("s")) & (inside == F.col("prefix")))
+        sums = met.groupBy("source", F.shiftright("block", shift).alias("next")).agg(
+            F.sum("tokens").alias("tokens"), F.first("left").alias("left"), F.min("block").alias("block"), F.max("block").alias("last"))
+        upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("next"))
+        first = sums.withColumn("upto", upto).where("upto > left").groupBy("source").agg(
+            F.min(F.struct("next", (F.col("left") - F.col("upto") + F.col("tokens")).alias("left"), "block", "last")).alias("c"))
+        state = scratch.keep(first.select("source", F.col("c.next").alias("prefix"), "c.left", "c.block", "c.last"), "cuts")
+        known = shift
+        if known == 0 or state.where("block <> last").isEmpty():
+            return state.select("source", "block", "left")
 
 
 def plan_mix(spark: SparkSession, docs: DataFrame, budget_share: float = 1.0, entropy_gain: float | None = 0.5, repetitions: float | None = 4.0,
@@ -108,7 +130,8 @@ def plan_mix(spark: SparkSession, docs: DataFrame, budget_share: float = 1.0, en
     The budget is budget_share of the corpus's tokens. The target entropy lies entropy_gain of the way from the
     corpus's own entropy to that of equal shares. A source gets at most its quota, and less by no more than one
     document in the block at the cut. Null sources are one source; a null text has no tokens; sources without tokens
-    take no part. Rows that repeat an id are taken or left together. An empty table gives an empty mix.
+    take no part. Rows that repeat an id are taken or left together, null ids too. An empty table gives an empty mix.
+    Blocks whose hashes tie are one block. A text longer than what is left of the block at the cut is left out.
     """
     scratch = Scratch(spark, "mixing")
     sized = scratch.keep(docs.select(
@@ -125,19 +148,16 @@ def plan_mix(spark: SparkSession, docs: DataFrame, budget_share: float = 1.0, en
         z = shares.agg(F.sum(F.pow("p", F.lit(exponent)))).first()[0]
     quota = F.floor(F.pow("p", F.lit(exponent)) / F.lit(z) * F.lit(budget_share * corpus) + F.lit(1e-6))
     wanted = shares.select(
-        "source", "tokens", quota.alias("quota"), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("bigint").alias("blocks"))
+        "source", "tokens", quota.alias("quota"), F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("bigint").alias("blocks"))
     wanted = wanted.select("*", F.expr("quota div tokens").alias("passes"), F.expr("quota % tokens").alias("rest"))
-    at = F.broadcast(wanted) if n_sources <= BROADCAST_ROWS else wanted
-    own = sized.join(at.withColumnRenamed("source", "s").drop("tokens"), sized["source"].eqNullSafe(F.col("s")))
+    wanted = scratch.keep(wanted, "wanted")
+    at = small(wanted.select(F.col("source").alias("s"), "blocks"), n_sources)
+    own = sized.join(at, sized["source"].eqNullSafe(F.col("s"))).where("tokens > 0")
     doc = _hash(F.col("id"), key)
-    blocked = own.select("source", "rest", doc.alias("doc"), "tokens", _block_hash(F.col("source"), F.pmod(doc, F.col("blocks")), key).alias("block"))
-    # At most MAX_BLOCKS rows a source.
-    sums = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))
-    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("block"))
-    cut = scratch.keep(sums.withColumn("upto", upto).where("upto > rest").groupBy("source").agg(
-        F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))).alias("c")).select("source", "c.block", "c.left"), "cuts")
+    blocked = own.select("source", doc.alias("doc"), "tokens", _block_hash(F.col("source"), F.pmod(doc, F.col("blocks")), key).alias("block"))
+    cut = _cuts(blocked.select("source", "tokens", "block"), wanted, n_sources, scratch)
     # Only the block at each source's cut is put in order.
-    inside = blocked.join(F.broadcast(cut) if n_sources <= BROADCAST_ROWS else cut, blocked["source"].eqNullSafe(cut["source"]) & (blocked["block"] == cut["block"]))
+    inside = blocked.join(small(cut, n_sources), blocked["source"].eqNullSafe(cut["source"]) & (blocked["block"] == cut["block"]))
     inside = inside.select(blocked["source"], "doc", "tokens", "left").groupBy("source", "doc").agg(F.sum("tokens").alias("tokens"), F.first("left").alias("left"))
     fits = inside.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("doc"))).where("upto <= left")
     ends = fits.groupBy("source").agg(F.max("doc").alias("cut_doc"))
@@ -153,4 +173,4 @@ def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """(doc_id, source, tokens, copies), one row for each row of docs."""
     plan, sized = plan_mix(spark, docs, **options)
     plan.id_col, plan.source_col = "id", "source"
-    return plan.copies(sized).select(F.col("id").alias("doc_id"), "source", "tokens", F.col("__mix_copies").alias("copies"))
+    return plan.copies(sized, "copies").select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
