@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
-A block of text is compressed alone and with each license template as a raw zstandard dictionary. A template that
-the block copies makes it much smaller; blocks that do are confirmed by the exact differences in wording, from an
-alignment of the words.
+A block of text is compressed alone and with each license template that it may copy as a raw zstandard dictionary. A
+template that the block copies makes it much smaller; of blocks that overlap, those that a template takes the most
+bytes from are ranked first, and winners are confirmed by the exact differences in wording, from an alignment of the
+words.
 
 Candidate blocks are complete: a template that may differ in k words is cut into k + 1 pieces, and a block within
 that limit holds at least one piece word for word. Every place of every piece is extended to both sides by the
@@ -11,6 +12,7 @@ alignment with the fewest differing words. Only documents that hold the longest
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -201,17 +203,17 @@ class Scanner:
                 key = a + key_of(words[a:b])
                 self.pieces.setdefault(words[key], []).append((len(self.templates), a, b, key))
             self.templates.append((name, words, press))
-        self.memo: dict[str, float] = {}
+        self.memo: dict[str, tuple[int, int]] = {}
 
-    def reduction(self, index: int, block: list[str]) -> float:
-        """How much smaller a block is with a template as dictionary."""
+    def sizes(self, index: int, block: list[str]) -> tuple[int, int]:
+        """Bytes of a block compressed alone, and with a template as dictionary."""
         text = " ".join(block)
         key = f"{index} {text}"
         if key not in self.memo:
             if len(self.memo) > MEMO:
                 self.memo.clear()
             data = text.encode()
-            self.memo[key] = 1 - len(self.templates[index][2].compress(data)) / len(self.alone.compress(data))
+            self.memo[key] = len(self.alone.compress(data)), len(self.templates[index][2].compress(data))
         return self.memo[key]
 
     def align(self, index: int, a: int, b: int, words: list[str], at: int) -> tuple[int, int, int, list[tuple[str, str]]] | None:
@@ -229,8 +231,8 @@ class Scanner:
             return None
         return at - left[1], stop + right[1], left[0] + right[0], left[2][::-1] + [(w, w) for w in tw[a:b]] + right[2]
 
-    def hits(self, words: list[str]) -> list[tuple[int, int, int, float, int, str]]:
-        """(template, begin, end, reduction, differences, their wording) of every block within the limits."""
+    def hits(self, words: list[str]) -> list[tuple[int, int, int, float, int, str, int]]:
+        """(template, begin, end, reduction, differences, their wording, bytes saved) of every block within the limits."""
         found = {}
         for i, w in enumerate(words):
             for t, a, b, key in self.pieces.get(w, ()):
@@ -238,29 +240,33 @@ class Scanner:
                 if at < 0 or words[at:at + b - a] != tw[a:b] or (got := self.align(t, a, b, words, at)) is None:
                     continue
                 begin, end, n, pairs = got
-                if n and renames(pairs):
+                if (t, begin, end) in found or (n and renames(pairs)):
                     continue
-                if (t, begin, end) not in found and (reduction := self.reduction(t, words[begin:end])) >= MIN_REDUCTION:
-                    found[t, begin, end] = (t, begin, end, reduction, n, spoken(pairs))
+                alone, given = self.sizes(t, words[begin:end])
+                if 1 - given / alone >= MIN_REDUCTION:
+                    found[t, begin, end] = (t, begin, end, 1 - given / alone, n, spoken(pairs), alone - given)
         return list(found.values())
 
     def scan(self, text: str) -> list[Match]:
         found = list(WORD.finditer(text))
-        # Of overlapping blocks the longest template's stays, then the one with the fewest differences.
-        order = lambda h: (-len(self.templates[h[0]][1]), h[4], -h[3], h[1], self.templates[h[0]][0], h[2])
+        # Of overlapping blocks the one that its template saves the most bytes of stays, then the one with the fewest differences.
+        order = lambda h: (-h[6], h[4], -len(self.templates[h[0]][1]), h[1], self.templates[h[0]][0], h[2])
+        starts: list[int] = []
         out: list[Match] = []
-        for t, a, b, reduction, n, said in sorted(self.hits([m.group().lower() for m in found]), key=order):
+        for t, a, b, reduction, n, said, _ in sorted(self.hits([m.group().lower() for m in found]), key=order):
             m = Match(self.templates[t][0], found[a].start(), found[b - 1].end(), reduction, n, said)
-            if all(m.end <= o.start or m.start >= o.end for o in out):
-                out.append(m)
-        return sorted(out, key=lambda m: m.start)
+            i = bisect.bisect(starts, m.start)
+            if (i == 0 or out[i - 1].end <= m.start) and (i == len(out) or m.end <= out[i].start):
+                starts.insert(i, m.start)
+                out.insert(i, m)
+        return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each license notice found: id, license, start_char, end_char, reduction, n_diff, differences.
 
     Whole texts are scanned. Null, empty and clean texts give no rows; repeated rows and null ids give theirs each;
-    notices that overlap are ranked by their template's length, then by the fewest differences.
+    notices that overlap are ranked by the bytes that their template saves, then by the fewest differences.
     A block differs from its template in at most MAX_DIFFERENCE of the words, and in one at least where the template has
     ONE_WORD words; a difference that makes another license of it (see NAMES) is none of this template. Other columns are ignored.
     """
