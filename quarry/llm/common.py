@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,13 +150,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Folders that Scratches take inside are deleted at the end: results must have been written elsewhere."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            delete_folder(spark, path)
+
+
 class Scratch:
-    """Written tables that cut lineage; they outlive any executor."""
+    """Written tables that cut lineage; they outlive any executor. `lasting` ones outlive passing() too."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if _passing and not lasting:
+            _passing[-1].append(self.base)
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -171,9 +193,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete what keep() wrote; for tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(df._quarry_path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete_folder(self.spark, df._quarry_path)
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -159,9 +159,8 @@ def materialise(spark: SparkSession, docs: DataFrame, out_dir: str, codec_args:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from pyarrow import fs
 
-        store, top = fs.FileSystem.from_uri(out_dir)
+        store, top = open_store(out_dir)
         store.create_dir(top, recursive=True)
         unpress, width = zstandard.ZstdDecompressor(dict_data=_raw_dict(dictionary)), 2 * seq_len
         eot = codec_eot.to_bytes(2, "little")
@@ -171,7 +170,7 @@ def materialise(spark: SparkSession, docs: DataFrame, out_dir: str, codec_args:
         def close():
             if out is not None:
                 out.close()
-                store.move(tmp, f"{top}/{shard_name(shard)}")
+                put_in_place(store, tmp, f"{top}/{shard_name(shard)}")
 
         for b in batches:
             slots = b.column("slot").to_numpy()
@@ -198,15 +197,33 @@ def materialise(spark: SparkSession, docs: DataFrame, out_dir: str, codec_args:
         "n_tokens", F.size(F.array_distinct(F.transform("spans", lambda s: s["doc_id"]))).alias("n_docs"), "spans", "ids_sha256")
 
 
+def open_store(out_dir: str):
+    """(file system, path) of a folder; Spark's names of an object store are those of its own protocol."""
+    from pyarrow import fs
+
+    scheme, sep, rest = out_dir.rstrip("/").partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else out_dir.rstrip("/"))
+
+
+def put_in_place(store, tmp: str, name: str) -> None:
+    """Rename a finished shard. An earlier attempt's shard, which is the same, may be there and may not give way."""
+    from pyarrow import fs
+
+    try:
+        store.move(tmp, name)
+    except OSError:
+        if store.get_file_info(name).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(tmp)
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
 def read_slots(out_dir: str, first: int, count: int, seq_len: int = 2048, rows_per_shard: int = 4096) -> Iterator[np.ndarray]:
     """Rows of `count` slots from `first` on, in order: what a trainer that resumes reads."""
-    from pyarrow import fs
-
-    store, top = fs.FileSystem.from_uri(out_dir.rstrip("/"))
+    store, top = open_store(out_dir)
     slot, width = first, 2 * seq_len
     while slot < first + count:
         shard, row = divmod(slot, rows_per_shard)
