@@ -36,8 +36,8 @@ def words(text: Column) -> Column:
 class PositionalIndex:
     """Postings (term, doc, pos) of the words that test items use, and each document's length."""
 
-    def __init__(self, postings: DataFrame, scratch: Scratch):
-        self.postings, self.scratch = postings, scratch
+    def __init__(self, postings: DataFrame, n_terms: int, scratch: Scratch):
+        self.postings, self.n_terms, self.scratch = postings, n_terms, scratch
 
     @classmethod
     def build(cls, spark: SparkSession, docs: DataFrame, test_words: DataFrame, id_col: str, text_col: str) -> PositionalIndex:
@@ -51,7 +51,7 @@ class PositionalIndex:
         ends = vocabulary.unionByName(spark.range(1).select(F.lit("").alias("word"), F.lit(LENGTH).cast("bigint").alias("term")))
         # The sort by one number is stable: documents and places stay in order within a term.
         postings = each.join(small(ends, n_terms), "word").select("term", "doc", "pos").sortWithinPartitions("term")
-        return cls(scratch.keep(postings, "postings", **SEGMENT), scratch)
+        return cls(scratch.keep(postings, "postings", **SEGMENT), n_terms, scratch)
 
     def lengths(self) -> DataFrame:
         return self.postings.where(F.col("term") == LENGTH).select("doc", F.col("pos").cast("bigint").alias("n_words"))
@@ -79,11 +79,16 @@ def phrases_of(items: DataFrame, window: int) -> DataFrame:
     return each.select("item", F.unhex(F.md5(F.array_join("gram", " "))).alias("wid"), "gram").distinct()
 
 
+def _number(gram: Column) -> Column:
+    """What candidates carry in place of a gram. Grams of one number are told apart when words are compared."""
+    return F.xxhash64(gram)
+
+
 def _anchors(index: PositionalIndex, grams: DataFrame) -> DataFrame:
     """(wid, gram, pair, term_a, term_b, off_a, delta): the two rarest terms of each gram, b being another term than a
     where it has one, and the hash `pair` of what two lists are intersected on."""
     at = grams.select("wid", "gram", F.posexplode("gram").alias("offset", "word")).withColumn("term", term_of(F.col("word")))
-    sized = at.join(index.frequencies(), "term", "left").select("wid", "gram", F.struct(
+    sized = at.join(small(index.frequencies(), index.n_terms), "term", "left").select("wid", "gram", F.struct(
         F.coalesce("df", F.lit(0)).alias("df"), "term", "offset").alias("t"))
     best = sized.groupBy("wid").agg(F.first("gram").alias("gram"), F.array_sort(F.collect_list("t")).alias("by_rarity"))
     two = best.select("wid", "gram", F.col("by_rarity")[0].alias("a"), F.get(F.filter(
@@ -95,7 +100,7 @@ def _anchors(index: PositionalIndex, grams: DataFrame) -> DataFrame:
 
 
 def candidates(index: PositionalIndex, grams: DataFrame) -> DataFrame:
-    """(doc, start, wid, gram): places where the lists of a gram's two rarest terms meet."""
+    """(doc, start, gram_no): places where the lists of a gram's two rarest terms meet."""
     anchors = index.scratch.keep(_anchors(index, grams), "anchors")
     n = anchors.count()
     one = F.col("term_a") == F.col("term_b")
@@ -106,12 +111,12 @@ def candidates(index: PositionalIndex, grams: DataFrame) -> DataFrame:
         lambda x: x["side"] > 0)).alias("s")).select("pair", "s.*")
     lists = index.postings.join(small(sides, 2 * n), "term").select("doc", "pair", (F.col("pos") - F.col("shift")).alias("at"), "side")
     met = lists.groupBy("doc", "pair", "at").agg(F.bit_or("side").alias("sides")).where("sides = 3")
-    return met.join(small(anchors.select("pair", "wid", "gram", "off_a"), n), "pair").select(
-        "doc", (F.col("at") - F.col("off_a")).alias("start"), "wid", "gram").where("start >= 0")
+    return met.join(small(anchors.select("pair", _number(F.col("gram")).alias("gram_no"), "off_a"), n), "pair").select(
+        "doc", (F.col("at") - F.col("off_a")).alias("start"), "gram_no").where("start >= 0")
 
 
-def confirmed(docs: DataFrame, cand: DataFrame, scratch: Scratch, id_col: str, text_col: str, window: int) -> DataFrame:
-    """The candidates (doc, start, wid, n) whose words are the gram's, n words long."""
+def confirmed(docs: DataFrame, cand: DataFrame, grams: DataFrame, scratch: Scratch, id_col: str, text_col: str, window: int) -> DataFrame:
+    """Matches (doc, start, wid, n): the candidates whose words are those of a gram (wid, gram), n words long."""
     placed = scratch.keep(cand.withColumn("block", F.floor(F.col("start") / BLOCK)), "candidates")
     # A document needs no more blocks than it has.
     need = scratch.keep(placed.groupBy("doc").agg(F.collect_set("block").alias("blocks")), "blocks")
@@ -120,7 +125,8 @@ def confirmed(docs: DataFrame, cand: DataFrame, scratch: Scratch, id_col: str, t
     read = semi_rows(text, "doc", need, m).join(small(need, m), "doc").select("doc", "blocks", words(F.col("text")).alias("words"))
     cut = read.select("doc", F.explode(F.transform("blocks", lambda b: F.struct(
         b.alias("block"), F.slice("words", (b * BLOCK + 1).cast("int"), F.lit(BLOCK + window - 1)).alias("words")))).alias("b")).select("doc", "b.*")
-    met = cut.join(small(placed, n), ["doc", "block"])
+    numbered = grams.select("wid", "gram", _number(F.col("gram")).alias("gram_no"))
+    met = cut.join(small(placed, n), ["doc", "block"]).join(small(numbered, numbered.count()), "gram_no")
     first = (F.col("start") - F.col("block") * BLOCK + 1).cast("int")
     return met.where(F.slice("words", first, F.size("gram")) == F.col("gram")).select("doc", "start", "wid", F.size("gram").alias("n"))
 
@@ -153,8 +159,9 @@ def phrase_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, windo
     index = PositionalIndex.build(spark, docs, own.select(F.explode("words").alias("word")).distinct(), id_col, text_col)
     scratch = index.scratch
     phrases = scratch.keep(phrases_of(own, window), "phrases")
-    cand = candidates(index, phrases.select("wid", "gram").dropDuplicates(["wid"]))
-    found = scratch.keep(confirmed(docs, cand, scratch, id_col, text_col, window), "matches")
+    grams = scratch.keep(phrases.select("wid", "gram").dropDuplicates(["wid"]), "grams")
+    cand = candidates(index, grams)
+    found = scratch.keep(confirmed(docs, cand, grams, scratch, id_col, text_col, window), "matches")
     lengths = scratch.keep(index.lengths(), "lengths")
     scratch.drop(index.postings)
     of = phrases.select("item", "wid")
@@ -171,7 +178,7 @@ def proximity_matches(index: PositionalIndex, phrases: DataFrame, slop: int) ->
     empty phrases match nothing.
     """
     at = phrases.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "word"))
-    known = at.withColumn("term", term_of(F.col("word"))).join(index.frequencies(), "term", "left")
+    known = at.withColumn("term", term_of(F.col("word"))).join(small(index.frequencies(), index.n_terms), "term", "left")
     terms = index.scratch.keep(known.select("phrase", "n", "offset", "term", F.coalesce("df", F.lit(0)).alias("df")), "proximity-terms")
     n = terms.count()
     rarest = terms.groupBy("phrase").agg(F.min(F.struct("df", "term"))["term"].alias("term"), F.min("df").alias("df")).where("df > 0")
