@@ -28,7 +28,37 @@ def keep(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what keep() wrote; for tables that no later plan reads."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quarry_path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Grown:
+    """A table that grows by appended parts, read as one folder: its plan does not grow."""
+
+    def __init__(self, df: DataFrame, label: str):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        self.parts = 0
+        self.last = self.add(df)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Append df's rows; a reader of them alone."""
+        part = f"{self.path}/part-{self.parts:05d}"
+        self.parts += 1
+        df.write.parquet(part)
+        self.last = self.spark.read.schema(self.schema).parquet(part)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
 SMALL_BYTES = 256 << 20

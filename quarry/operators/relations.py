@@ -39,25 +39,31 @@ def number_symbols(defs: DataFrame) -> DataFrame:
     return number_rows(defs, ["file_id", "line", "name"], "sym_id").withColumn("sym_id", F.col("sym_id").cast("int"))
 
 
-def enclosing(points: DataFrame, spans: DataFrame, point_id: str, group: str, at: tuple[str, str], span: tuple[str, str], span_id: str, slack: int = 0) -> DataFrame:
-    """points with `enclosing`, the innermost span of the same group that holds [at[0], at[1]]; null without one.
+# Spans of a group from which on places and spans meet by buckets instead of all with all.
+CROWDED = 1_000
 
-    Innermost: the latest start; of equal starts the largest span id. slack widens spans at their end.
-    """
-    s = spans.select(F.col(group).alias("_g"), F.col(span[0]).alias("_s"), F.col(span[1]).alias("_e"), F.col(span_id).alias("_id"))
-    inside = (F.col(group) == F.col("_g")) & (F.col("_s") <= F.col(at[0])) & ((F.col("_e") + F.lit(slack) if slack else F.col("_e")) >= F.col(at[1]))
-    best = points.join(s, inside).groupBy(point_id).agg(F.max_by("_id", F.struct("_s", "_id")).alias("enclosing"))
-    return points.join(best, point_id, "left")
 
+def enclosing(points: DataFrame, spans: DataFrame, point_id: str, group: str, at: tuple[str, str], span: tuple[str, str], span_id: str, slack: int = 0,
+              crowded: int = CROWDED) -> DataFrame:
+    """points with `enclosing`, the innermost span of the same group that holds [at[0], at[1]]; null without one.
 
-def enclosing_bucketed(points: DataFrame, spans: DataFrame, point_id: str, group: str, at: str, span: tuple[str, str], span_id: str, width: int) -> DataFrame:
-    """As enclosing() for single places, with spans dealt to buckets of `width`: an equi join for groups with very
-    many spans. A span goes to every bucket that it touches."""
-    s = spans.select(
-        F.col(group).alias("_g"), F.col(span[0]).alias("_s"), F.col(span[1]).alias("_e"), F.col(span_id).alias("_id"),
-        F.explode(F.sequence(F.floor(F.col(span[0]) / width), F.floor(F.col(span[1]) / width))).alias("_b"))
-    p = points.withColumn("_pb", F.floor(F.col(at) / width))
-    hit = p.join(s, (F.col(group) == F.col("_g")) & (F.col("_pb") == F.col("_b")) & F.col(at).between(F.col("_s"), F.col("_e")))
+    Innermost: the latest start; of equal starts the largest span id. slack widens spans at their end. Spans of a group
+    with more than `crowded` spans are dealt to buckets as wide as their mean length, and a span goes to every bucket
+    that it touches: an equi join whose rows grow with what really overlaps.
+    """
+    end = F.col(span[1]) + F.lit(slack) if slack else F.col(span[1])
+    s = spans.select(F.col(group).alias("_g"), F.col(span[0]).alias("_s"), end.alias("_e"), F.col(span_id).alias("_id")).where("_e >= _s")
+    per = s.groupBy("_g").agg(F.count(F.lit(1)).alias("m"), F.greatest(F.lit(1), F.ceil(F.avg(F.col("_e") - F.col("_s"))) + 1).cast("bigint").alias("_w"))
+    # One row a group: only crowded ones are told apart.
+    wide = per.where(F.col("m") > crowded).select("_g", "_w")
+    found = []
+    p = points.select(point_id, F.col(group).alias("_pg"), F.col(at[0]).alias("_p0"), F.col(at[1]).alias("_p1"))
+    inside = (F.col("_s") <= F.col("_p0")) & (F.col("_e") >= F.col("_p1"))
+    found.append(p.join(s.join(wide, "_g", "left_anti"), (F.col("_pg") == F.col("_g")) & inside))
+    dealt = s.join(wide, "_g").withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / F.col("_w")), F.floor(F.col("_e") / F.col("_w")))))
+    own = p.join(wide.select(F.col("_g").alias("_pg"), F.col("_w").alias("_pw")), "_pg").withColumn("_pb", F.floor(F.col("_p0") / F.col("_pw")))
+    found.append(own.join(dealt, (F.col("_pg") == F.col("_g")) & (F.col("_pb") == F.col("_b")) & inside))
+    hit = found[0].select(point_id, "_s", "_id").unionByName(found[1].select(point_id, "_s", "_id"))
     best = hit.groupBy(point_id).agg(F.max_by("_id", F.struct("_s", "_id")).alias("enclosing"))
     return points.join(best, point_id, "left")
 
@@ -70,14 +76,29 @@ def candidates(refs: DataFrame, symbols: DataFrame, tier2: str = "basename") ->
     the only one. k is the number of candidates.
     """
     part = (lambda c: F.substring_index(c, "/", -1)) if tier2 == "basename" else (lambda c: F.regexp_extract(c, "^(.*)/[^/]*$", 1))
-    s = symbols.select("sym_id", "name", F.col("path").alias("_p"))
-    tier = F.when(F.col("path") == F.col("_p"), 1).when(part(F.col("path")) == part(F.col("_p")), 2).otherwise(3)
-    met = refs.select("ref_id", "name", "path").join(s, "name").select("ref_id", "sym_id", tier.alias("tier"))
-    # Candidates by tier, never one list of all definitions of a name: counts decide, then one join back.
-    per = met.groupBy("ref_id").agg(F.min("tier").alias("best"), *[F.count_if(F.col("tier") == t).alias(f"n{t}") for t in (1, 2, 3)])
-    k = F.when(F.col("best") == 1, F.col("n1")).when(F.col("best") == 2, F.col("n2")).otherwise(F.col("n3"))
-    chosen = per.select("ref_id", "best", k.alias("k")).where("best < 3 or k = 1")
-    return met.join(chosen, "ref_id").where("tier = best").select("ref_id", "sym_id", "tier", "k")
+    s = symbols.select("sym_id", "name", F.col("path").alias("at"), part(F.col("path")).alias("base"))
+    r = refs.select("ref_id", "name", F.col("path").alias("at"), part(F.col("path")).alias("base"))
+    # Counts of each tier decide first, one row a key; then a reference meets the definitions of its tier alone.
+    n = F.count(F.lit(1))
+    same = s.groupBy("name", "at").agg(n.alias("k1"))
+    near = s.groupBy("name", "base").agg(n.alias("k2"))
+    only = s.groupBy("name").agg(n.alias("k3"), F.min("sym_id").alias("only"))
+    sized = r.join(same, ["name", "at"], "left").join(near, ["name", "base"], "left").join(only, "name")
+    tier = F.when(F.col("k1").isNotNull(), 1).when(F.col("k2").isNotNull(), 2).when(F.col("k3") == 1, 3)
+    chosen = sized.select("ref_id", "name", "at", "base", "only", "k1", "k2", tier.alias("tier"))
+    one = lambda t, key, k: chosen.where(F.col("tier") == t).join(s.select("sym_id", "name", key), ["name", key]).select(
+        "ref_id", "sym_id", "tier", F.col(k).alias("k"))
+    alone = chosen.where("tier = 3").select("ref_id", F.col("only").alias("sym_id"), "tier", F.lit(1).cast("bigint").alias("k"))
+    return one(1, "at", "k1").unionByName(one(2, "base", "k2")).unionByName(alone)
+
+
+def unsettled(refs: DataFrame, symbols: DataFrame, tier2: str = "basename") -> DataFrame:
+    """One row: ambiguous, the references that several definitions elsewhere could be meant by and that get none, and
+    unresolved, those whose name no definition has."""
+    settled = candidates(refs, symbols, tier2).select("ref_id").distinct()
+    known = symbols.select("name").distinct().withColumn("known", F.lit(True))
+    rest = refs.select("ref_id", "name").join(settled, "ref_id", "left_anti").join(known, "name", "left")
+    return rest.agg(F.count_if(F.col("known").isNotNull()).alias("ambiguous"), F.count_if(F.col("known").isNull()).alias("unresolved"))
 
 
 def weighted_edges(calls: DataFrame, cap: float = 8.0) -> DataFrame:
@@ -142,15 +163,15 @@ def really_changed(diff: DataFrame, manifest: DataFrame, hashes: DataFrame) -> D
 
 
 def suffix_join(frames: DataFrame, files: DataFrame, boundary: bool = True) -> DataFrame:
-    """frames(frame_no, path, ...) with file_id of the first file that ends with the frame's path or with which the
-    frame's path ends; null without one.
+    """frames(frame_no, path, ...) with file_id of the first file whose path the frame's path is or ends with; null
+    without one.
 
-    With boundary a match must begin at a path part, and both sides are joined on equal suffixes of whole parts:
-    an equi join, as many rows a path as it has parts. Without it any suffix counts, which is a nested loop over
-    the frames.
+    With boundary a match must begin at a path part; without it, anywhere. Either way a frame's path is joined on its
+    own suffixes: an equi join, as many rows a frame as it has parts or characters, and no size matters.
     """
     if not boundary:
-        hit = frames.join(F.broadcast(files.select("file_id", F.col("path").alias("_p"))), F.col("path").endswith(F.col("_p")))
+        ends = F.transform(F.sequence(F.lit(1), F.greatest(F.length("path"), F.lit(1))), lambda i: F.substr(F.col("path"), i))
+        hit = frames.select("frame_no", F.explode(ends).alias("_x")).join(files.select("file_id", F.col("path").alias("_x")), "_x")
         best = hit.groupBy("frame_no").agg(F.min("file_id").alias("file_id"))
         return frames.join(best, "frame_no", "left")
 
@@ -163,7 +184,9 @@ def suffix_join(frames: DataFrame, files: DataFrame, boundary: bool = True) -> D
     return frames.join(best, "frame_no", "left")
 
 
-def naive_cost(paths: DataFrame, files: DataFrame) -> DataFrame:
-    """One row: naive_tokens, what reading every file named in paths(path) would cost; null if none is a file."""
-    total = files.join(paths.select("path").distinct(), "path", "left_semi").agg(F.sum("n_bytes").alias("b"))
-    return total.select(F.floor(F.col("b") / F.lit(4.0) + F.lit(0.5)).cast("bigint").alias("naive_tokens"))
+def naive_cost(paths: DataFrame, files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """naive_tokens, what reading every file named in paths(path) would cost, each file once: one row, or one for each
+    combination of the columns `by` of paths; null if none is a file."""
+    keys = by or []
+    total = paths.select(*keys, "path").distinct().join(files.select("path", "n_bytes"), "path", "left" if keys else "inner").groupBy(*keys).agg(F.sum("n_bytes").alias("b"))
+    return total.select(*keys, F.floor(F.col("b") / F.lit(4.0) + F.lit(0.5)).cast("bigint").alias("naive_tokens"))

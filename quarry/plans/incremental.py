@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.storage import keep, shared_dir
 from ..functions.text import fnv1a64
 from ..operators.relations import manifest_diff, really_changed, resolve_edges
-from ..sources.crawl import crawl, looks_binary, stats
+from ..sources.crawl import contents, crawl, listing, looks_binary, stats
 from ..sources.extract import extract
 from ..sources.index import Index, load_index, save_index
 
@@ -43,10 +43,8 @@ def index_path(spark: SparkSession, root: str, folder: str | None = None) -> str
 
 def hashes(spark: SparkSession, root: str) -> DataFrame:
     """manifest(path, len, mtime_nanos, hash) of every listed file, binary ones included."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    from ..sources.crawl import listing
-
-    both = listing(spark, root).join(raw.select(F.regexp_replace("path", "^file:///", "file:/").alias("uri"), "content"), "uri")
+    listed = listing(spark, root)
+    both = listed.join(contents(spark, listed), "uri")
     # A binary file is listed but never indexed; its entry keeps it from looking new in every run.
     return both.select("path", "len", "mtime_nanos", F.when(looks_binary(F.col("content")), F.lit("binary")).otherwise(fnv1a64(F.col("content"))).alias("hash"))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extension
+from ..functions.text import escape_xml, extension, price
 from ..sources.index import Index
 from .verbs import Answer
 
@@ -73,6 +73,31 @@ def cdata(text: str) -> str:
     return "<![CDATA[" + text.replace("]]>", "]]]]><![CDATA[>") + "]]>"
 
 
+def _escaped(c: Column) -> Column:
+    return F.octet_length(escape_xml(c, quotes=True))
+
+
+def bundle_bytes() -> Column:
+    """Bytes of a body with its context as an answer would hold it, from a row of verbs.bundle()."""
+    joined = lambda c: _escaped(F.array_join(c, ","))
+    legend = len(LEGENDS["expand"][0].encode())
+    frame = len('<bodies shown="1" total="1" capped="0"><b n="" t="" l="" p="" sibs="" sibs_total="" inc="" inc_total=""><![CDATA[]]></b></bodies>')
+    calls = F.aggregate("callee_sigs", F.lit(0), lambda s, c: s + _escaped(c) + len("<c></c>"))
+    return (F.lit(legend + frame) + _escaped(F.col("name")) + F.octet_length("kind") + F.length(F.col("line").cast("string")) + _escaped(F.col("path"))
+            + joined("sibs") + joined("inc") + F.octet_length(F.coalesce("body", F.lit(""))) + calls)
+
+
+def expand_price(root: str) -> Column:
+    """Tokens of the document that holds the row's text, its own price's digits included: ROUNDS rounds from 0."""
+    head = len(f'<ctx root="{escape(root)}" mode="" reason=""><src p="" sym=":"><![CDATA[]]></src></ctx>'.encode())
+    fixed = F.lit(head) + F.octet_length("mode") + _escaped(F.col("reason")) + _escaped(F.col("path")) + _escaped(F.col("name")) + F.length(
+        F.col("line").cast("string")) + F.octet_length("text")
+    est = F.lit(0).cast("bigint")
+    for _ in range(ROUNDS):
+        est = price(fixed + len(' est_tokens=""') + F.length(est.cast("string")))
+    return est
+
+
 def map_model(index: Index, root: str) -> DataFrame:
     """One row: tokens and bytes of the map's price model. Content is summed by extension in one aggregation."""
     top = len(root.rstrip("/").encode()) + 1
@@ -134,13 +159,19 @@ def render(verb: str, index: Index, answer: Answer, root: str = ".") -> str:
         if verb == "expand":
             d.pop("body", None)
         parts.append(f"<row{attributes(d, apostrophes=True)}" + (f">{cdata(text)}</row>" if text is not None else "/>"))
+    # What a summary lists comes after the rows.
+    parts += [f"<enc{attributes(e.asDict(), apostrophes=True)}/>" for e in said.pop("enc", None) or ()]
+    if "tail" in said:
+        files, total = said.pop("tail") or [], said.pop("tail_total")
+        inner = "".join(f"<f{attributes({'p': p}, apostrophes=True)}/>" for p in files)
+        parts.append(f"<tail{attributes({'total': total, 'shown': len(files), 'capped': total > len(files)})}>{inner}</tail>")
     payload = "".join(parts)
     legend = pick_legend(verb, payload)
 
     def build(est: int) -> str:
         return f"{legend}<{verb}{attributes({'root': root, **said, 'est_tokens': est}, apostrophes=True)}>{payload}</{verb}>"
 
-    if verb in ("for", "from-trace"):
-        return settle(build, COMPOSED_RATE)[1]
+    if verb in ("for", "from-trace", "expand"):
+        return settle(build, FLAT_RATE if verb == "expand" else COMPOSED_RATE)[1]
     bare = f"{legend}<{verb}{attributes({'root': root, **said}, apostrophes=True)}>{payload}</{verb}>"
     return build(flat_price(len(bare.encode())))

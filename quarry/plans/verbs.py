@@ -17,6 +17,7 @@ from ..sources.index import Index
 
 Answer = tuple[DataFrame, DataFrame]
 SIBLINGS = 8
+TAIL = 20
 
 
 def _symbols(index: Index) -> DataFrame:
@@ -54,24 +55,53 @@ def ranked_map(index: Index) -> Answer:
     return rows, summary
 
 
+def _unsettled(index: Index) -> DataFrame:
+    """One row: graph_ambiguous and graph_unresolved, references inside definitions that the graph has no edge for."""
+    paths = index.files.select("file_id", "path")
+    inside = relations.enclosing(index.refs, _spans(index), "ref_id", "file_id", ("start_byte", "end_byte"), ("start_byte", "end_byte"), "sym_id").where("enclosing is not null")
+    counts = relations.unsettled(inside.join(paths, "file_id"), index.symbols.join(paths, "file_id"))
+    return counts.select(F.col("ambiguous").alias("graph_ambiguous"), F.col("unresolved").alias("graph_unresolved"))
+
+
+def _spans(index: Index) -> DataFrame:
+    return index.symbols.select("file_id", "start_byte", "end_byte", "sym_id")
+
+
+def per_file(index: Index, rows: DataFrame, value) -> DataFrame:
+    """rows(file_id, ...) with `value`(content, row) added: a file's rows are gathered first, so its content is read
+    once and never copied to them. A file has at most as many rows as it has places."""
+    names = [c for c in rows.columns if c != "file_id"]
+    gathered = rows.groupBy("file_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    met = gathered.join(index.files.select("file_id", "content"), "file_id")
+    out = met.select("file_id", F.explode(F.transform("rows", lambda r: F.struct(*[r[n].alias(n) for n in names], value(F.col("content"), r).alias("value")))).alias("r"))
+    return out.select("file_id", "r.*")
+
+
 def grep(index: Index, term: str) -> Answer:
-    """Lines that hold a literal text, with the innermost definition around the first place in each."""
-    hits = lines(index.files).where(F.instr("text", term) > 0)
+    """Lines that hold a literal text, with the innermost definition around the first place in each. The summary lists
+    the enclosing names in the order of their first hits, with the callers of the first definition of the name."""
+    hits = lines(index.files, having=lambda t: F.instr(t, term) > 0)
     at = F.col("start_byte") + F.octet_length(F.substring(F.col("text"), F.lit(1), F.instr("text", term) - 1))
     hits = keep(hits.select("file_id", "line", "text", at.alias("at"), F.struct("file_id", "line").alias("hit")), "hits")
-    placed = relations.enclosing(hits, index.symbols.select("file_id", "start_byte", "end_byte", "sym_id"), "hit", "file_id", ("at", "at"),
-                                 ("start_byte", "end_byte"), "sym_id")
+    placed = relations.enclosing(hits, _spans(index), "hit", "file_id", ("at", "at"), ("start_byte", "end_byte"), "sym_id")
     inside = index.symbols.select(F.col("sym_id").alias("enclosing"), F.col("name").alias("in"), "cx")
     callers = relations.fan_in(index.edges).withColumnRenamed("dst", "enclosing")
-    rows = (placed.drop("hit").join(inside, "enclosing", "left").join(callers, "enclosing", "left").join(index.files.select("file_id", "path"), "file_id").select(
-        "path", F.col("line").alias("l"), "in", F.col("enclosing").alias("in_id"), F.col("text"), F.coalesce("fan_in", F.lit(0)).alias("callers"), "cx")
-        .orderBy("path", "l"))
-    summary = index.files.agg(F.count(F.lit(1)).alias("files")).crossJoin(hits.agg(F.count(F.lit(1)).alias("hits")))
-    return rows, summary
+    rows = keep(placed.drop("hit").join(inside, "enclosing", "left").join(callers, "enclosing", "left").join(index.files.select("file_id", "path"), "file_id").select(
+        "path", F.col("line").alias("l"), "in", F.col("enclosing").alias("in_id"), F.col("text"), F.coalesce("fan_in", F.lit(0)).alias("callers"), "cx"), "grep")
+    first = rows.where("in is not null").groupBy("in").agg(F.min(F.struct("path", "l")).alias("seen"))
+    named = index.symbols.groupBy(F.col("name").alias("in")).agg(F.min(F.struct(F.col("sym_id").alias("enclosing"), "kind", "cx")).alias("d"))
+    enc = first.join(named, "in").select("seen", "in", "d.*").join(callers, "enclosing", "left").agg(F.array_sort(F.collect_list(F.struct(
+        "seen", F.col("in").alias("n"), F.coalesce("fan_in", F.lit(0)).alias("callers"), F.when(F.col("kind").isin("fn", "method"), F.col("cx")).alias("cx")))).alias("enc"))
+    enc = enc.select(F.transform("enc", lambda x: F.struct(x["n"].alias("n"), x["callers"].alias("callers"), x["cx"].alias("cx"))).alias("enc"))
+    top = rows.agg(F.min(F.struct("path", "l")).alias("t"), F.count(F.lit(1)).alias("hits")).select(
+        "hits", F.when(F.col("t").isNotNull(), F.concat(F.lit("--at="), F.col("t.path"), F.lit(":"), F.col("t.l").cast("string"))).alias("next"))
+    summary = index.files.agg(F.count(F.lit(1)).alias("files")).crossJoin(top).crossJoin(enc)
+    return rows.orderBy("path", "l"), summary
 
 
 def hierarchy(index: Index, selector: str, which: str, transitive_tests: bool = False) -> Answer:
-    """Callers or callees of a symbol, one hop; tests and docs come last."""
+    """Callers or callees of a symbol, one hop; tests and docs come last. The summary also counts the graph's references
+    that no edge was made for."""
     defs = resolve(index, selector).select("sym_id")
     near = relations.neighbours(index.edges, defs, which)
     s = _symbols(index)
@@ -81,7 +111,8 @@ def hierarchy(index: Index, selector: str, which: str, transitive_tests: bool =
         F.col("kind").alias("t"), F.col("name").alias("n"), "path", "line", "sym_id", T.row_tier(F.col("path")).alias("tier"), "disc",
         F.coalesce("tested", F.lit(False)).alias("tested")), which)
     summary = defs.agg(F.count(F.lit(1)).alias("defs")).crossJoin(rows.agg(
-        F.count(F.lit(1)).alias("count"), F.count_if("tested").alias("hop_tested"), F.count_if(~F.col("tested")).alias("hop_untested")))
+        F.count(F.lit(1)).alias("count"), F.count_if("tested").alias("hop_tested"), F.count_if(~F.col("tested")).alias("hop_untested"))).crossJoin(
+        _unsettled(index)).withColumn("next", F.lit(f"--{'uses' if which == 'callers' else 'expand'}={selector}"))
     return rows.orderBy("tier", "path", "disc").select("t", "n", "path", "line", "sym_id", "tier", "tested"), summary
 
 
@@ -100,15 +131,14 @@ def uses(index: Index, selector: str) -> Answer:
     if ":" in selector and not defs.isEmpty():
         name = selector.rpartition(":")[2]
     sites = index.refs.where(F.col("name") == name)
-    placed = relations.enclosing(sites, index.symbols.select("file_id", "start_byte", "end_byte", "sym_id"), "ref_id", "file_id",
-                                 ("start_byte", "end_byte"), ("start_byte", "end_byte"), "sym_id")
+    placed = relations.enclosing(sites, _spans(index), "ref_id", "file_id", ("start_byte", "end_byte"), ("start_byte", "end_byte"), "sym_id")
     inside = index.symbols.select(F.col("sym_id").alias("enclosing"), F.col("name").alias("in"))
-    own = index.files.select("file_id", "path", "content")
-    rows = (placed.join(own, "file_id").join(inside, "enclosing", "left").select(
-        F.lit("call").alias("role"), "path", T.line_of_byte(F.col("content"), F.col("start_byte").cast("int")).alias("line"), "in",
+    lined = per_file(index, placed.select("file_id", "ref_id", "start_byte", "enclosing"), lambda content, r: T.line_of_byte(content, r["start_byte"].cast("int")))
+    rows = (lined.join(index.files.select("file_id", "path"), "file_id").join(inside, "enclosing", "left").select(
+        F.lit("call").alias("role"), "path", F.col("value").alias("line"), "in",
         F.col("enclosing").alias("in_id"), T.row_tier(F.col("path")).alias("tier"), "start_byte").orderBy("tier", "path", "start_byte"))
     n = F.count(F.lit(1))
-    summary = defs.agg(n.alias("defs"), F.when(n == 0, 1).otherwise(0).alias("external")).crossJoin(sites.agg(n.alias("count")))
+    summary = defs.agg(n.alias("defs"), F.when(n == 0, 1).otherwise(0).alias("external")).crossJoin(sites.agg(n.alias("count"))).crossJoin(_unsettled(index))
     return rows, summary
 
 
@@ -159,20 +189,25 @@ def bundle(index: Index, ids: DataFrame) -> DataFrame:
 
 def signatures(index: Index, ids: DataFrame | None = None) -> DataFrame:
     s = index.symbols if ids is None else index.symbols.join(ids.select("sym_id"), "sym_id", "left_semi")
-    sig = T.signature(span_text(F.col("content"), F.col("start_byte"), F.octet_length("content").cast("bigint")))
-    return s.join(index.files.select("file_id", "content"), "file_id").select("sym_id", sig.alias("sig"))
+    return per_file(index, s.select("file_id", "sym_id", "start_byte"), lambda content, r: T.signature(
+        span_text(content, r["start_byte"], F.octet_length(content).cast("bigint")))).select("sym_id", F.col("value").alias("sig"))
+
 
+def expand(index: Index, selector: str, root: str = ".") -> Answer:
+    """The first definition that a selector means: its body with context, or its whole file where that is smaller than
+    the bundle as it would be written, markup and legend included (see render.bundle_bytes)."""
+    from .render import bundle_bytes, expand_price
 
-def expand(index: Index, selector: str, bundle_overhead: int = 0) -> Answer:
-    """The first definition that a selector means: its body with context, or its whole file where that is smaller."""
     first = resolve(index, selector).agg(F.min("sym_id").alias("sym_id")).where("sym_id is not null")
     rows = bundle(index, first)
-    size = F.lit(bundle_overhead) + F.octet_length("body") + F.octet_length(F.array_join("callee_sigs", "\n")) + F.octet_length(F.array_join("sibs", ",")) + F.octet_length(
-        F.array_join("inc", ","))
+    size = bundle_bytes()
     whole = F.col("n_bytes") < size
     text = F.when(whole, F.make_valid_utf8(F.col("content").cast("string"))).otherwise(F.col("body"))
-    rows = rows.join(index.files.select("file_id", "content"), "file_id").withColumn("mode", F.when(whole, "whole-file").otherwise("bundle")).withColumn("text", text).drop("content")
-    summary = rows.select("mode", F.col("n_bytes").alias("file_bytes"), size.alias("bundle_bytes"), T.price(F.octet_length("text")).alias("est_tokens"))
+    reason = F.when(whole, F.concat(F.lit("file "), F.col("n_bytes").cast("string"), F.lit("B < bundle "), size.cast("string"), F.lit("B"))).otherwise(
+        F.concat(F.lit("bundle "), size.cast("string"), F.lit("B <= file "), F.col("n_bytes").cast("string"), F.lit("B")))
+    rows = rows.join(index.files.select("file_id", "content"), "file_id").withColumn("mode", F.when(whole, "whole-file").otherwise("bundle")).withColumn(
+        "reason", reason).withColumn("text", text).drop("content")
+    summary = rows.select("mode", "reason", F.col("n_bytes").alias("file_bytes"), size.alias("bundle_bytes"), expand_price(root).alias("est_tokens"))
     return rows, summary
 
 
@@ -180,8 +215,8 @@ def for_task(index: Index, task: str) -> Answer:
     """Symbols by how well they fit a task in words, cut where the scores fall off."""
     spark = index.files.sparkSession
     terms = lexical.terms_of(spark, task)
-    body = index.symbols.join(index.files.select("file_id", "content"), "file_id").select(
-        "sym_id", F.coalesce(span_text(F.col("content"), F.col("start_byte"), F.col("end_byte")), F.lit("")).alias("text"))
+    body = per_file(index, index.symbols.select("file_id", "sym_id", "start_byte", "end_byte"), lambda content, r: F.coalesce(
+        span_text(content, r["start_byte"], r["end_byte"]), F.lit(""))).select("sym_id", F.col("value").alias("text"))
     scores = keep(lexical.bm25(lexical.symbol_fields(index.symbols, index.edges, body), terms).withColumn("score", F.col("score").cast("float")), "scores")
     exact = scores.withColumn("score", F.col("score").cast("double"))
     cut = keep(lexical.cut_summary(exact), "cut")
@@ -197,10 +232,16 @@ def for_task(index: Index, task: str) -> Answer:
             .join(signatures(index, top), "sym_id", "left").select(
         F.col("line").alias("l"), F.col("name").alias("n"), F.concat_ws(":", "path", "line").alias("p"), "cx", F.lit(0).alias("ccx"),
         F.coalesce("fan_in", F.lit(0)).alias("in"), F.coalesce("amp", F.lit(0)).alias("amp"), "r", "score", "sig", "sym_id",
-        F.coalesce("hops", F.array().cast("array<string>")).alias("hops")).orderBy("r"))
+        F.coalesce("hops", F.array().cast("array<string>")).alias("hops"),
+        F.when(F.col("r") == 1, F.concat(F.lit("--expand="), "path", F.lit(":"), "name")).alias("next")).orderBy("r"))
+    # The tail: files of positive rows that the cut left out, and that no kept row lies in.
+    left = exact.where("score > 0").select("sym_id").join(top.select("sym_id"), "sym_id", "left_anti")
+    in_files = lambda ids: index.symbols.join(ids, "sym_id", "left_semi").select("file_id").distinct()
+    tail = in_files(left).join(in_files(top.select("sym_id")), "file_id", "left_anti").join(index.files.select("file_id", "path"), "file_id")
+    tail = tail.agg(F.count(F.lit(1)).alias("tail_total"), F.slice(F.array_sort(F.collect_list("path")), 1, TAIL).alias("tail"))
     named = lexical.route(index.symbols, spark.range(1).select(F.lit(task).alias("query")))
     summary = cut.crossJoin(named.select("name_exact", "reason", "named")).crossJoin(
-        rows.agg(F.count_if(F.size("hops") == 0).alias("noedge"))).withColumn("window", F.lit(lexical.CEILING))
+        rows.agg(F.count_if(F.size("hops") == 0).alias("noedge"))).crossJoin(tail).withColumn("window", F.lit(lexical.CEILING))
     return rows, summary
 
 

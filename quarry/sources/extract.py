@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.relations import dedup_definitions, number_symbols
+from ..operators.relations import dedup_definitions, enclosing, number_symbols
 from .packs import KEYWORDS, compile_pack
 
 TYPES = {"cls", "struct", "iface"}
@@ -70,7 +70,35 @@ def _ends(text: str, opens: str) -> dict[int, int]:
     return out
 
 
-def _extent(text: str, m: re.Match, how: str, braces: dict[int, int], ends: dict[int, int]) -> tuple[int, int]:
+def _gates(text: str) -> list[tuple[int, int]]:
+    """Stretches between #if and its #endif, the outermost ones."""
+    out, depth, start = [], 0, 0
+    for m in re.finditer(r"(?m)^[ \t]*#[ \t]*(if|endif)", text):
+        if m.group(1) == "if":
+            start = m.end() if depth == 0 else start
+            depth += 1
+        elif depth:
+            depth -= 1
+            if depth == 0:
+                out.append((start, m.start()))
+    return out
+
+
+def _outer(braces: dict[int, int]) -> list[tuple[int, int]]:
+    """Blocks that lie in no other block, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(braces.items()):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def _within(at: int, stretches: list[tuple[int, int]]) -> bool:
+    i = bisect.bisect_right(stretches, (at, 1 << 62)) - 1
+    return i >= 0 and stretches[i][0] <= at < stretches[i][1]
+
+
+def _extent(text: str, m: re.Match, how: str, braces: dict[int, int], ends: tuple[list[int], list[int]]) -> tuple[int, int]:
     """(end of the declaration, start of its body)."""
     stop = m.end()
     newline = text.find("\n", stop)
@@ -86,10 +114,9 @@ def _extent(text: str, m: re.Match, how: str, braces: dict[int, int], ends: dict
         return (semi + 1 if 0 <= semi < newline else newline), stop
     if how == "end":
         line = text.rfind("\n", 0, m.start("name")) + 1
-        for at, end in sorted(ends.items()):
-            if line <= at <= newline:
-                return end, stop
-        return newline, stop
+        openers, closers = ends
+        i = bisect.bisect_left(openers, line)
+        return (closers[i] if i < len(openers) and openers[i] <= newline else newline), stop
     brace, semi = text.find("{", m.end("name")), text.find(";", m.end("name"))
     if brace >= 0 and brace in braces and (semi < 0 or brace < semi):
         between = text[m.end("name"):brace]
@@ -104,13 +131,20 @@ def _extent(text: str, m: re.Match, how: str, braces: dict[int, int], ends: dict
 
 def brace_language(lang: str, src: bytes) -> Found:
     pack, blank, rules, refs, decisions = compile_pack(lang)
-    text, reserved = blank.sub(_blank, src.decode("latin-1")), KEYWORDS[lang]
+    plain, reserved = src.decode("latin-1"), KEYWORDS[lang]
+    text = blank.sub(_blank, plain)
     found = Found(src)
     braces = _braces(text)
-    ends = _ends(text, pack.opens) if pack.opens else {}
+    closed = sorted(_ends(text, pack.opens).items()) if pack.opens else []
+    ends = [a for a, _ in closed], [b for _, b in closed]
+    gates = _gates(text) if any(r.gated for r, _ in rules) else []
+    outer = _outer(braces) if gates else []
     got, names = [], set()
     for rule, pattern in rules:
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(plain if rule.raw else text):
+            first = m.start() + len(m.group()) - len(m.group().lstrip())
+            if (rule.raw and text[first:first + 1] != plain[first:first + 1]) or (rule.gated and (not _within(first, gates) or _within(first, outer))):
+                continue
             # A statement is no declaration, however it looks after its first word.
             if m.group("name") in reserved or re.match(r"\s*(?:return|throw|new|await|yield|else|goto|delete)\b", m.group()):
                 continue
@@ -149,13 +183,45 @@ def brace_language(lang: str, src: bytes) -> Found:
 
 
 PY_DECISIONS = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.IfExp)
+PY_REPAIRS = 64
+PY_LINE = re.compile(rb"(?m)^[ \t]*(?:async[ \t]+def|def|class)[ \t]+(?P<name>[A-Za-z_]\w*)")
+
+
+def repaired(src: bytes) -> ast.Module | None:
+    """The tree of a source whose lines at syntax errors are put aside, one by one, byte for byte; None where that does
+    not end. A line that opens a block is kept as one that always runs, so what it holds is still read."""
+    rows = src.replace(b"\0", b" ").split(b"\n")
+    touched: set[int] = set()
+    for _ in range(PY_REPAIRS):
+        try:
+            return ast.parse(b"\n".join(rows))
+        except SyntaxError as e:
+            i = min(max((e.lineno or 1) - 1, 0), len(rows) - 1)
+            # The reported line may be repaired already; then the fault is in the nearest line before it.
+            while i > 0 and (i in touched and not rows[i].strip()):
+                i -= 1
+            row = rows[i]
+            indent, body = row[:len(row) - len(row.lstrip())], row.strip()
+            stand_in = b"if 1:" if body.endswith(b":") else b"pass"
+            again = i in touched or len(body) < len(stand_in)
+            touched.add(i)
+            rows[i] = (b" " * len(row)) if again else (indent + stand_in).ljust(len(row))
+        except (ValueError, RecursionError, MemoryError):
+            return None
+    return None
 
 
 def python_file(src: bytes) -> Found:
     found = Found(src)
     try:
         tree = ast.parse(src)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        tree = repaired(src)
+    if tree is None:
+        # What is left is what lines say by themselves.
+        for m in PY_LINE.finditer(src):
+            at = m.start() + len(m.group()) - len(m.group().lstrip())
+            found.add(m.group("name").decode(), "cls" if src[at:at + 5] == b"class" else "fn", at, m.end(), int(src[at:at + 5] != b"class"))
         return found
     pos = lambda line, col: found.starts[line - 1] + col
 
@@ -286,10 +352,21 @@ def yaml_file(src: bytes) -> Found:
         for f in YAML_FLOW.finditer(raw):
             keys.append((f.group("key").decode("utf-8", "replace"), -1, at + f.start("key"), at + f.end()))
         at += len(raw) + 1
-    for i, (name, indent, start, end) in enumerate(keys):
+    # From the end on: the next block key that is not deeper ends a key's value.
+    after: list[tuple[int, int]] = []
+    stops = [0] * len(keys)
+    for i in range(len(keys) - 1, -1, -1):
+        _, indent, start, _ = keys[i]
+        if indent >= 0:
+            while after and after[-1][0] > indent:
+                after.pop()
+            stops[i] = after[-1][1] if after else len(src)
+            after.append((indent, start))
+    for (name, indent, start, end), stop in zip(keys, stops, strict=True):
         if indent >= 0:
-            nxt = next((k[2] for k in keys[i + 1:] if 0 <= k[1] <= indent), len(src))
-            end = max(end, len(src[:nxt].rstrip()))
+            while stop > end and src[stop - 1:stop].isspace():
+                stop -= 1
+            end = max(end, stop)
         found.add(name.strip("\"'"), "sec", start, end)
     return found
 
@@ -340,8 +417,12 @@ def documented_gates(symbols: DataFrame, files: DataFrame) -> DataFrame:
     s = s.where(~((F.col("kind") == "var") & F.col("lang").isin(*CONSTANT_LANGS)) | constant)
     keys = s.where("lang = 'yaml'").select("file_id", "sym_id", "start_byte", "end_byte")
     outer = keys.select("file_id", F.col("sym_id").alias("o"), F.col("start_byte").alias("os"), F.col("end_byte").alias("oe"))
-    deep = (keys.join(outer, "file_id").where("o <> sym_id and os < start_byte and oe >= end_byte").groupBy("sym_id").agg(F.count(F.lit(1)).alias("n"))
-            .where("n >= 2").select("sym_id"))
+    # Keys nest: a key lies deep if the key around it has one around itself. Places just before a key find what is around it.
+    around = lambda k: enclosing(k.select("sym_id", "file_id", (F.col("start_byte") - 1).alias("p"), "end_byte"), outer, "sym_id", "file_id",
+                                 ("p", "end_byte"), ("os", "oe"), "o").where("enclosing is not null")
+    held = around(keys)
+    nested = held.select(F.col("sym_id").alias("enclosing"))
+    deep = held.join(nested, "enclosing", "left_semi").select("sym_id")
     return s.join(deep, "sym_id", "left_anti").select(symbols.columns)
 
 

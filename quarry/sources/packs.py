@@ -2,7 +2,7 @@
 
 No parser library is at hand, so packs describe declarations by patterns over text in which comments and strings
 are blanked out, and find extents by braces, `end` words or indentation. `fidelity` says how close that comes to
-a grammar: exact (a real parser), close (a full scanner of a simple format) or heuristic.
+a grammar: close (a real parser, or a full scanner of a simple format) or heuristic.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ class Rule:
     end: str = "brace"  # brace: at its block or the statement's end; line; match
     member: str | None = None  # kind inside a type; "" drops it there
     free: bool = True  # found outside types
+    raw: bool = False  # looked for in the text as it is, strings included; it must not begin inside one
+    gated: bool = False  # only between #if and #endif, outside all braces
 
 
 @dataclass(frozen=True)
@@ -121,6 +123,9 @@ PACKS: dict[str, Pack] = {
             Rule("method", rf"{HEAD}(?!return\b|else\b|delete\b|throw\b|new\b)(?:[A-Za-z_][\w \t*&:<>,]*?[ \t*&])?(?P<name>~?{ID})\s*\([^;{{}}]*\)[^;{{}}()=]*(?=[{{;])", member="method", free=False),
             Rule("method", rf"(?P<name>operator\s*[^\s\w(]+)\s*\([^;{{}}]*\)[^;{{}}]*(?=[{{;])"),
             *_C[1:],
+            # A call followed by a block: what a test macro looks like before it is expanded.
+            Rule("macro", rf"(?m)^[ \t]*{N}[ \t]*\([^;{{}}()]*(?:\([^;{{}}()]*\)[^;{{}}()]*)*\)\s*(?=\{{)"),
+            Rule("var", rf"(?m)^[ \t]*(?!return\b|goto\b|typedef\b|using\b|struct\b|class\b|enum\b)[A-Za-z_][\w:<>, \t*&]*?[ \t*&]{N}\s*(?:\[[^\]]*\]\s*)*;", end="line", gated=True),
         ),
         (CALL, rf"(?P<name>{ID})\s*<[^<>;(){{}}]*>\s*\(", rf"\busing\s+(?:namespace\s+)?(?:{ID}::)*(?P<name>{ID})\s*;"),
         C_DECISIONS + r"|\bcatch\b"),
@@ -150,6 +155,7 @@ PACKS: dict[str, Pack] = {
         (
             Rule("cls", r"(?m)^\s*(?:defmodule|defprotocol|defimpl|alias|import|use|require)\s+(?P<name>[A-Z][\w.]*)", end="end"),
             Rule("fn", r"(?m)^\s*(?:defp?|defmacrop?|defguardp?|defdelegate)\s+(?P<name>[a-z_]\w*[?!]?)", end="end"),
+            Rule("fn", r'(?m)^[ \t]*[a-z_]\w*[?!]?[ \t(]+(?P<name>"(?:\\.|[^"\\\n])*")[^\n]*?\bdo\b(?!:)', end="end", raw=True),
         ),
         (r"(?P<name>[a-z_]\w*[?!]?)\(", r"\|>\s*(?:[\w.]+\.)?(?P<name>[a-z_]\w*[?!]?)"), r"(?!)", "end", r"\b(?:do|fn)\b(?!:)"),
     "bash": Pack(
@@ -157,7 +163,8 @@ PACKS: dict[str, Pack] = {
         (Rule("fn", r"(?m)^\s*(?:function\s+)?(?P<name>[\w.-]+)\s*\(\)\s*(?=[{(])"), Rule("fn", r"(?m)^\s*function\s+(?P<name>[\w.-]+)\s*(?=\{)")),
         (r"(?m)(?:^|[;&|]|\$\(|\bthen|\bdo|\belse)[ \t]*(?P<name>[A-Za-z_][\w.-]*)(?=[\s;|&)]|$)(?!\s*\(\))",), r"\b(?:if|for|while)\b"),
     "javascript": Pack(C_COMMENT + "|`(?:\\\\.|[^`\\\\])*`?|" + QUOTED, _JS + (
-        Rule("var", rf"(?m)^\s*(?:{ID}\.)*(?:exports\.)?{ID}\.{N}\s*=\s*(?:async\s+)?function\b"),), (CALL, NEW), JS_DECISIONS),
+        Rule("method", rf"(?m)^\s*(?:(?:{ID}|\]|\))\.)+?{ID}\.{N}\s*=\s*(?:async\s*)?(?:function\s*\*?\s*\(|(?:\([^()]*\)|{ID})\s*=>)"),
+        Rule("fn", rf"(?<=[{{,])\s*{N}\s*:\s*(?:async\s*)?(?:function\b|(?:\([^()]*\)|{ID})\s*=>)"),), (CALL, NEW), JS_DECISIONS),
     "typescript": Pack(C_COMMENT + "|`(?:\\\\.|[^`\\\\])*`?|" + QUOTED, _TS, (CALL, NEW), JS_DECISIONS),
     "kotlin": Pack(
         C_COMMENT + '|""".*?"""|' + QUOTED,
@@ -229,7 +236,7 @@ PACKS["cuda"] = PACKS["c"]
 PACKS["tsx"] = PACKS["typescript"]
 
 # Languages with scanners of their own, and what those are worth.
-SCANNED = {"python": "exact", "json": "close", "toml": "close", "yaml": "heuristic", "html": "close"}
+SCANNED = {"python": "close", "json": "close", "toml": "close", "yaml": "heuristic", "html": "close"}
 
 
 def fidelity(lang: str) -> str:

@@ -15,7 +15,7 @@ def go(spark, go_tree):
 
 
 def test_documents_are_xml_and_priced(go):
-    for flags in ({}, {"grep": "Dist"}, {"callers": "Dist"}, {"uses": "Dist"}, {"at": "main.go:10"}, {"expand": "main.go:main"}, {"impact": "Dist"}, {"for": "point <distance>"},
+    for flags in ({}, {"grep": "Total"}, {"callers": "Total"}, {"uses": "Total"}, {"at": "main.go:12"}, {"expand": "main.go:main"}, {"impact": "Total"}, {"for": "ledger <total>"},
                   {"from-trace": "/x/main.go:14"}):
         verb, answer = verbs.run_verb(go, flags)
         doc = render.render(verb, go, answer, "root & co")
@@ -55,7 +55,7 @@ def test_parser():
 
 
 def test_command_line(spark, go_tree, tmp_path):
-    doc = cli.main(["--callers=Dist", f"--gain-log={tmp_path}/log", "--no-cache", go_tree])
+    doc = cli.main(["--callers=Total", f"--gain-log={tmp_path}/log", "--no-cache", go_tree])
     assert 'n="main"' in doc and "Tokens" in cli.main(["gain", f"--gain-log={tmp_path}/log"])
 
 
@@ -72,13 +72,21 @@ def test_ledger_stream(spark, tmp_path):
 
 
 def test_index_stream(spark, tmp_path):
-    root = tmp_path / "src"
-    root.mkdir()
+    root, out = tmp_path / "src", str(tmp_path / "out")
+    (root / "node_modules").mkdir(parents=True)
     (root / "a.go").write_text("package a\n\nfunc A() {\n\tB()\n}\n")
+    (root / "node_modules" / "n.go").write_text("package n\n\nfunc N() {\n}\n")
     (root / "x.txt").write_text("func no()")
-    run = lambda: streams.index_stream(spark, str(root), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(90)
+    run = lambda: streams.index_stream(spark, str(root), out, str(tmp_path / "cp")).awaitTermination(90)
+    got = lambda: {(r["path"], r["name"], r.is_def) for r in streams.latest(spark, out).collect()}
     run()
     (root / "b.go").write_text("package a\n\nfunc B() {\n}\n")
     run()
-    got = {(r["name"], r.is_def) for r in streams.latest(spark, str(tmp_path / "out")).collect()}
-    assert got == {("A", True), ("B", False), ("B", True)}
+    assert got() == {("a.go", "A", True), ("a.go", "B", False), ("b.go", "B", True)}
+    assert streams.index_changes(spark, str(root), out) == 0
+    (root / "a.go").write_text("package a\n\nvar x = 1\n// nothing but a variable\n")
+    (root / "b.go").unlink()
+    assert streams.index_changes(spark, str(root), out) == 2 and got() == {("a.go", "x", True)}
+    (root / "a.go").write_text("package a\n")
+    (root / "b.go").write_text("package a\n\nfunc C() {\n}\n")
+    assert streams.index_changes(spark, str(root), out) == 2 and got() == {("b.go", "C", True)}

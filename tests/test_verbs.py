@@ -22,62 +22,64 @@ def rows(answer):
 
 def test_go_symbols_and_edges(go):
     got = [(r.sym_id, r.name, r.kind, r.line, r.end_line, r.cx) for r in go.symbols.orderBy("sym_id").collect()]
-    assert got == [(0, "Point", "struct", 5, 7, 0), (1, "Dist", "method", 9, 11, 1), (2, "main", "fn", 13, 16, 1)]
+    assert got == [(0, "Ledger", "struct", 5, 8, 0), (1, "Total", "method", 10, 16, 2), (2, "main", "fn", 18, 21, 1)]
     assert [tuple(r) for r in go.edges.collect()] == [(2, 1, 1.0)]
 
 
 def test_java_symbols_and_edges(java):
     got = [(r.sym_id, r.name, r.kind, r.line, r.end_line) for r in java.symbols.orderBy("sym_id").collect()]
-    assert got == [(0, "Point", "cls", 3, 6), (1, "dist", "method", 5, 5), (2, "Main", "cls", 8, 13), (3, "main", "method", 9, 12)]
+    assert got == [(0, "Kettle", "cls", 1, 8), (1, "heat", "method", 4, 7), (2, "Kitchen", "cls", 10, 15), (3, "main", "method", 11, 14)]
     assert sorted(tuple(r) for r in java.edges.collect()) == [(3, 0, 1.0), (3, 1, 1.0)]
 
 
 def test_go_map(go):
     r, s = rows(verbs.ranked_map(go))
-    assert [(x.n, x.k) for x in r] == [("Dist", 0.4805), ("Point", 0.2597), ("main", 0.2597)]
+    assert [(x.n, x.k) for x in r] == [("Total", 0.4805), ("Ledger", 0.2597), ("main", 0.2597)]
     assert (s.pr_iters, s.converged, s.files, s.symbols, s.edges) == (12, True, 1, 3, 1)
-    assert {x.n: x.callees for x in r}["main"] == ["Dist"]
+    assert {x.n: x.callees for x in r}["main"] == ["Total"]
 
 
 def test_java_map(java):
     r, s = rows(verbs.ranked_map(java))
-    assert [(x.n, x.k) for x in r] == [("Point", 0.2938), ("dist", 0.2938), ("Main", 0.2062), ("main", 0.2062)]
+    assert [(x.n, x.k) for x in r] == [("Kettle", 0.2938), ("heat", 0.2938), ("Kitchen", 0.2062), ("main", 0.2062)]
     assert s.pr_iters == 9
 
 
 def test_grep(go):
-    r, s = rows(verbs.grep(go, "Dist"))
-    assert [(x.l, x["in"], x.callers) for x in r] == [(9, "Dist", 1), (15, "main", 0)]
-    assert (s.files, s.hits) == (1, 2)
-    assert rows(verbs.grep(go, "nowhere"))[1].hits == 0
+    r, s = rows(verbs.grep(go, "Total"))
+    assert [(x.l, x["in"], x.callers) for x in r] == [(10, "Total", 1), (20, "main", 0)]
+    assert (s.files, s.hits, s.next) == (1, 2, "--at=main.go:10")
+    assert [tuple(e) for e in s.enc] == [("Total", 1, 2), ("main", 0, 1)]
+    s = rows(verbs.grep(go, "nowhere"))[1]
+    assert (s.hits, s.next, s.enc) == (0, None, [])
 
 
 def test_callers_callees_uses(go):
-    r, s = rows(verbs.callers(go, "Dist"))
-    assert [(x.n, x.line) for x in r] == [("main", 13)] and (s.defs, s["count"], s.hop_untested) == (1, 1, 1)
+    r, s = rows(verbs.callers(go, "Total"))
+    assert [(x.n, x.line) for x in r] == [("main", 18)] and (s.defs, s["count"], s.hop_untested) == (1, 1, 1)
     r, s = rows(verbs.callees(go, "main.go:main"))
-    assert [x.n for x in r] == ["Dist"]
-    r, s = rows(verbs.uses(go, "Dist"))
-    assert [(x.line, x["in"]) for x in r] == [(15, "main")] and (s.defs, s.external, s["count"]) == (1, 0, 1)
-    r, s = rows(verbs.uses(go, "Println"))
+    assert [x.n for x in r] == ["Total"] and s.next == "--expand=main.go:main" and (s.graph_ambiguous, s.graph_unresolved) == (0, 1)
+    r, s = rows(verbs.uses(go, "Total"))
+    assert [(x.line, x["in"]) for x in r] == [(20, "main")] and (s.defs, s.external, s["count"]) == (1, 0, 1)
+    r, s = rows(verbs.uses(go, "Exit"))
     assert len(r) == 1 and s.external == 1
 
 
 def test_at(go):
-    r, s = rows(verbs.at(go, "main.go:10"))
-    assert [(x.n, x.l, x.el) for x in r] == [("Dist", 9, 11)] and s.sym == "Dist"
+    r, s = rows(verbs.at(go, "main.go:12"))
+    assert [(x.n, x.l, x.el) for x in r] == [("Total", 10, 16)] and s.sym == "Total"
     assert rows(verbs.at(go, "other.go:10"))[0] == []
-    assert rows(verbs.at(go, "main.go:4"))[0] == []
+    assert rows(verbs.at(go, "main.go:9"))[0] == []
 
 
 def test_at_chain(java):
-    r, _ = rows(verbs.at(java, "Main.java:10"))
-    assert [x.n for x in r] == ["main", "Main"]
+    r, _ = rows(verbs.at(java, "Kitchen.java:12"))
+    assert [x.n for x in r] == ["main", "Kitchen"]
 
 
 def test_strict_parity(java):
-    assert [x.n for x in rows(verbs.at(java, "Main.java:10", strict_parity=True))[0]] == ["main"]
-    assert [x.n for x in rows(verbs.at(java, "None.java:10", strict_parity=True))[0]] == ["main"]
+    assert [x.n for x in rows(verbs.at(java, "Kitchen.java:12", strict_parity=True))[0]] == ["main"]
+    assert [x.n for x in rows(verbs.at(java, "None.java:12", strict_parity=True))[0]] == ["main"]
 
 
 def test_documented_gates(spark):
@@ -88,30 +90,31 @@ def test_documented_gates(spark):
 
 
 def test_impact(go):
-    r, s = rows(verbs.impact(go, "Point"))
+    r, s = rows(verbs.impact(go, "Ledger"))
     assert r == [] and (s.reaches, s.depth, s.depth_capped) == (0, 1, 0)
-    r, s = rows(verbs.impact(go, "Dist"))
+    r, s = rows(verbs.impact(go, "Total"))
     assert [x.n for x in r] == ["main"] and s.reaches == 1
-    assert rows(verbs.impact(go, "Dist", 0))[1].depth_capped == 1
+    assert rows(verbs.impact(go, "Total", 0))[1].depth_capped == 1
 
 
 def test_expand(go):
     r, s = rows(verbs.expand(go, "main.go:main"))
-    assert r[0].name == "main" and r[0].body.startswith("func main()") and r[0].sibs == ["Point", "Dist"] and r[0].inc == ['"fmt"']
+    assert r[0].name == "main" and r[0].body.startswith("func main()") and r[0].sibs == ["Ledger", "Total"] and r[0].inc == ['"os"']
     assert s.mode in ("whole-file", "bundle")
     assert rows(verbs.expand(go, "nothing"))[0] == []
 
 
 def test_for(go):
-    r, s = rows(verbs.for_task(go, "find the point distance"))
-    assert [x.n for x in r] == ["Point", "Dist", "main"]
-    assert (s.kept, s.margin_pct, s.confidence, s.name_exact) == (3, 46, "high", False)
-    assert r[0].sig == "type Point struct" and r[1].sig == "func (p Point) Dist() int"
+    r, s = rows(verbs.for_task(go, "find the ledger total"))
+    # ledger: a name, and twice in a body; total: a name, a callee's name, and once in a body.
+    assert [x.n for x in r] == ["Total", "main", "Ledger"]
+    assert (s.kept, s.confidence, s.name_exact, s.tail_total, s.tail) == (3, "high", False, 0, [])
+    assert r[0].sig == "func (l *Ledger) Total() int" and r[2].sig == "type Ledger struct" and [x.next for x in r] == ["--expand=main.go:Total", None, None]
 
 
 def test_from_trace(go):
-    r, s = rows(verbs.from_trace(go, "/src/x/main.go:14\n/src/x/main.go:10\nnot a frame\n/src/other.go:3"))
-    assert [x.n for x in r] == ["main", "Dist", None]
+    r, s = rows(verbs.from_trace(go, "/src/x/main.go:19\n/src/x/main.go:12\nnot a frame\n/src/other.go:3"))
+    assert [x.n for x in r] == ["main", "Total", None]
     assert (s.frames, s.in_corpus, s.unresolved) == (3, 2, 1) and r[0].body.startswith("func main") and r[1].body is None
 
 
