@@ -375,10 +375,8 @@ def frame_parse(spark, sf_dir):
     raw = (F.when(k == 0, F.concat(F.lit(" "), src, F.lit("/"), doc, F.lit(":"), doc, F.lit(" "))).when(k == 1, F.concat(src, F.lit(" x:"), doc))
            .when(k == 2, F.concat(src, F.lit(":+"), doc)).otherwise(F.concat(src, F.lit(":"))))
     t = _table(spark, sf_dir, "documents").select("doc_id", raw.alias("value"))
-    # A frame's number is its line in the trace; here each document is a trace of one line.
-    lines = t.select("doc_id", F.trim("value").alias("t")).where(F.col("t").rlike(crawl.FRAME))
-    return lines.select("doc_id", F.expr("substring(t, 1, length(t) - length(substring_index(t, ':', -1)) - 1)").alias("path"),
-                        F.regexp_replace(F.substring_index("t", ":", -1), "^[+]", "").try_cast("bigint").alias("line"))
+    # Here each document is a trace of one line.
+    return crawl.parse_frames(t, keep=["doc_id"]).select("doc_id", "path", "line")
 
 
 @query("""
@@ -426,9 +424,10 @@ def symbol_ids(spark, sf_dir):
 @query("""
 SELECT l_orderkey, CAST(floor(sum(n) / 4.0 + 0.5) AS BIGINT) AS naive_tokens FROM (SELECT DISTINCT l_orderkey, l_partkey, p_size * 100 AS n FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY l_orderkey""")
 def naive_cost(spark, sf_dir):
-    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 100).alias("n"))
-    return li.join(part, "l_partkey").groupBy("l_orderkey").agg(F.floor(F.sum("n") / F.lit(4.0) + F.lit(0.5)).cast("bigint").alias("naive_tokens"))
+    # An order is an answer, its parts are the files that it names.
+    paths = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("path"))
+    files = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), (F.col("p_size") * 100).alias("n_bytes"))
+    return relations.naive_cost(paths, files, ["l_orderkey"])
 
 
 # Graph --------------------------------------------------------------------------------------------------------
@@ -452,7 +451,20 @@ def rank_parts(spark, sf_dir):
     return run.ranks.select(F.col("sym_id").alias("part"), F.round(F.col("k") * 1000, 5).alias("k"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {EDGES_SQL.strip()},
+w AS (SELECT src, sum(weight) AS w FROM e GROUP BY src), n AS (SELECT count(*) AS n FROM part),
+r AS (
+  SELECT 0 AS it, p_partkey AS v, 1.0 / n AS k, CAST(1 AS DOUBLE) AS d FROM part, n
+  UNION ALL
+  SELECT it, v, 0.85 * coalesce(sum(f), 0) + (0.85 * any_value(dang) + 0.15) / any_value(n), abs(0.85 * coalesce(sum(f), 0) + (0.85 * any_value(dang) + 0.15) / any_value(n) - sum(old)) FROM (
+    SELECT r.it + 1 AS it, r.v, 0 AS f, r.k AS old, d.dang, n.n FROM r,
+      (SELECT coalesce(sum(k), 0) AS dang FROM r WHERE v NOT IN (SELECT src FROM w)) d, n, (SELECT sum(d) AS moved FROM r) m WHERE r.it < 100 AND moved >= 1e-6
+    UNION ALL
+    SELECT r.it + 1, e.dst, r.k * e.weight / w.w, 0, d.dang, n.n FROM r JOIN e ON e.src = r.v JOIN w ON w.src = r.v,
+      (SELECT coalesce(sum(k), 0) AS dang FROM r WHERE v NOT IN (SELECT src FROM w)) d, n, (SELECT sum(d) AS moved FROM r) m WHERE r.it < 100 AND moved >= 1e-6) GROUP BY it, v),
+t AS (SELECT max(it) AS it FROM r)
+SELECT v AS part, round(k, 8) AS k, CAST(t.it AS INT) AS iterations, (SELECT sum(d) FROM r WHERE r.it = t.it) < 1e-6 AS converged FROM r, t WHERE r.it = t.it""")
 def rank_converged(spark, sf_dir):
     nodes = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sym_id"))
     run = graph.pagerank(nodes, part_edges(spark, sf_dir))
@@ -545,17 +557,22 @@ FROM l GROUP BY GROUPING SETS ((), (repo), (verb))""")
 def ledger_rollup(spark, sf_dir):
     from . import ledger
 
+    return ledger.savings(ledger.rollup(_ledger_rows(spark, sf_dir))).select("level", "name", "runs", "spent_tokens", "naive_tokens", "unmodelled", "saved_tokens_pct")
+
+
+def _ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = F.col("event_id") % 3 == 0
-    rows = _table(spark, sf_dir, "events").select(
+    return _table(spark, sf_dir, "events").select(
         F.lit(0).cast("bigint").alias("ts"), F.col("user_id").cast("string").alias("repo"), F.col("event_type").alias("verb"), F.floor("value").cast("bigint").alias("spent_tokens"),
         F.lit(0).cast("bigint").alias("spent_ms"), F.when(~three, F.col("event_id") % 1000).alias("naive_tokens"), F.lit(None).cast("bigint").alias("naive_ms"),
         F.when(three, "none").otherwise("file-set").alias("model"))
-    return ledger.savings(ledger.rollup(rows)).select("level", "name", "runs", "spent_tokens", "naive_tokens", "unmodelled", "saved_tokens_pct")
 
 
 @query("""
 WITH l AS (SELECT user_id, CAST(sum(floor(value)) AS BIGINT) AS spent FROM events GROUP BY user_id)
 SELECT CAST(user_id AS VARCHAR) AS repo, spent FROM l ORDER BY spent DESC, CAST(user_id AS VARCHAR) LIMIT 10""")
 def ledger_top10(spark, sf_dir):
-    totals = _table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("repo")).agg(F.sum(F.floor("value").cast("bigint")).alias("spent"))
-    return totals.orderBy(F.desc("spent"), "repo").limit(10)
+    from . import ledger
+
+    rows = _ledger_rows(spark, sf_dir)
+    return ledger.top_repos(ledger.rollup(rows).where("level = 'repo'")).select(F.col("name").alias("repo"), F.col("spent_tokens").alias("spent"))

@@ -67,6 +67,11 @@ def gain(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("level <> 'total'").orderBy("level", "name"), savings(rows.where("level = 'total'"))
 
 
+def top_repos(repos: DataFrame) -> DataFrame:
+    """The TOP_REPOS repositories that spent most, ties by name."""
+    return repos.orderBy(F.desc("spent_tokens"), "name").limit(TOP_REPOS)
+
+
 def report(spark: SparkSession, path: str) -> str:
     """The gain report as text."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,9 +82,9 @@ def report(spark: SparkSession, path: str) -> str:
                        short_number(F.col("saved_tokens")).alias("saved"), duration(F.col("saved_ms")).alias("time")).first()
     out = [f"Runs: {s['runs']}", f"Tokens: {s['spent']} spent, {s['naive']} by reading whole files, {s['saved']} saved ({s['saved_tokens_pct']} %)",
            f"Time: {s['time']} saved ({s['saved_ms_pct']} %)", f"Runs without a model of the cost avoided: {s['unmodelled']}"]
-    repos = rows.where("level = 'repo'").orderBy(F.desc("spent_tokens"), "name")
+    repos = rows.where("level = 'repo'")
     n = repos.count()
-    out += [f"  {r['p']}: {r['runs']} runs, {r['t']} tokens" for r in repos.limit(TOP_REPOS).select(
+    out += [f"  {r['p']}: {r['runs']} runs, {r['t']} tokens" for r in top_repos(repos).select(
         shorten_path(F.col("name")).alias("p"), "runs", short_number(F.col("spent_tokens")).alias("t")).collect()]
     if n > TOP_REPOS:
         out.append(f"  and {n - TOP_REPOS} more")

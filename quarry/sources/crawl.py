@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -162,12 +162,13 @@ def span_text(content: Column, start: Column, end: Column) -> Column:
 FRAME = r"^[^ ]*:[+]?[0-9]+$"
 
 
-def parse_frames(trace: DataFrame, text_col: str = "value") -> DataFrame:
-    """frames(frame_no, path, line) of a whole trace text: lines `path:line`, in order; others are left out."""
-    each = trace.select(F.posexplode(F.split(F.col(text_col), "\n")).alias("frame_no", "raw")).select("frame_no", F.trim(F.regexp_replace("raw", "\r$", "")).alias("t"))
+def parse_frames(trace: DataFrame, text_col: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """frames(*keep, frame_no, path, line) of whole trace texts: lines `path:line`, in order; others are left out."""
+    each = trace.select(*keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("frame_no", "raw")).select(
+        *keep, "frame_no", F.trim(F.regexp_replace("raw", "\r$", "")).alias("t"))
     number = F.regexp_replace(F.substring_index("t", ":", -1), "^[+]", "").try_cast("bigint")
     path = F.expr("substring(t, 1, length(t) - length(substring_index(t, ':', -1)) - 1)")
-    out = each.where(F.col("t").rlike(FRAME)).select("frame_no", path.alias("path"), number.alias("line"))
+    out = each.where(F.col("t").rlike(FRAME)).select(*keep, "frame_no", path.alias("path"), number.alias("line"))
     return out.where(F.col("line").isNotNull() & (F.col("line") < (1 << 32)))
 
 

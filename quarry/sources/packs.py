@@ -146,7 +146,7 @@ PACKS: dict[str, Pack] = {
         (
             Rule("cls", rf"(?m)^\s*(?:abstract\s+)?(?:class|mixin|extension|enum)\s+{N}"),
             Rule("cls", rf"(?m)^\s*typedef\s+{N}", end="line"),
-            Rule("method", rf"{HEAD}{MODIFIERS}(?:{TYPE}\s+)?(?:get\s+|set\s+)?{N}\s*(?:\([^;{{}}]*\))?\s*(?:async\*?\s*)?(?=\{{|=>)", member="method", free=False),
+            Rule("method", rf"{HEAD}{MODIFIERS}(?:(?!(?:class|mixin|extension|enum)\b){TYPE}\s+)?(?:get\s+|set\s+)?{N}\s*(?:\([^;{{}}]*\))?\s*(?:async\*?\s*)?(?=\{{|=>)", member="method", free=False),
             Rule("fn", rf"(?m)^{TYPE}\s+{N}\s*\([^;{{}}]*\)\s*(?:async\*?\s*)?(?=\{{|=>)", member="method"),
         ),
         (CALL,), C_DECISIONS + r"|\bcatch\b"),
