@@ -8,7 +8,7 @@ from being missed with more than MISS probability.
 
 Documents with the same set form a class first, and only one of each class goes on, so copies cost nothing. Classes
 that share a band key hang together in candidate groups (each is tied to the key's smallest class, never to all of
-them). Groups are cut into blocks of at most BLOCK classes; each block also gets the group's PIVOTS first classes.
+them). Groups are cut into blocks of about BLOCK classes; each block also gets a few of the group's classes, PIVOTS.
 In a block, pairs of which the collision-corrected estimate is far below the threshold are set aside, the others
 are confirmed on full sets, and only links that join two components are kept. Groups of several blocks are then
 compared across blocks, but only where blocks still lie in different components.
@@ -34,6 +34,7 @@ MANTISSA = 10
 COLLISION = 0.169919487159739 / (1 << MANTISSA)
 MISS = 1e-6
 BLOCK = 128
+ACROSS = 512  # sets of two blocks that are compared across
 PIVOTS = 8
 SURE = 48  # smaller sets are compared without an estimate
 MARGIN = 6  # standard deviations of the estimate
@@ -283,18 +284,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     # A key's classes are tied to its smallest one: a map-side minimum, then a join with one row a key.
     keyed = classes.select("rep", F.explode("keys").alias("key"))
     hubs = scratch.keep(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "hubs")
-    ties = join_sized(keyed, hubs, "key", "m", bands * classes.count()).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    edges = scratch.keep(ties.distinct(), "ties")
-    groups = connected_components(spark, edges, scratch)
+    # With the number of classes that share the keys; a hub is tied to itself here, for its own number.
+    ties = scratch.keep(join_sized(keyed, hubs, "key", "m", bands * classes.count()).groupBy("rep", "hub").agg(F.sum("m").alias("shared")), "ties")
+    groups = connected_components(spark, ties.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     member = scratch.keep(groups.join(sizes, "component").select(
         F.col("v").alias("rep"), F.col("component").alias("grp"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "groups")
     n = member.count()
     block = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")
     large = member.where("blocks > 1")
-    # The first classes of a group, by PIVOTS hashes, go to all its blocks.
-    firsts = F.array_distinct(F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(PIVOTS)]))
-    pivots = large.groupBy("grp").agg(F.first("blocks").alias("blocks"), firsts.alias("reps")).select("grp", "blocks", F.explode("reps").alias("rep"))
+    # Some classes of a group go to all its blocks: the first ones by PIVOTS hashes, and in each of PIVOTS parts the one
+    # that shares keys with the most classes, which is where a group of copies of one text has its middle.
+    shared = ties.groupBy("rep").agg(F.sum("shared").alias("shared"))
+    part = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(PIVOTS))
+    picks = F.array_compact(F.array_distinct(F.array(
+        *[F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(PIVOTS)],
+        *[F.max_by("rep", F.when(part == i, F.struct("shared", "rep"))) for i in range(PIVOTS)])))
+    pivots = large.join(shared, "rep").groupBy("grp").agg(F.first("blocks").alias("blocks"), picks.alias("reps")).select("grp", "blocks", F.explode("reps").alias("rep"))
     everywhere = pivots.select("rep", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
     placed = member.select("rep", "grp", block.alias("blk")).union(everywhere).distinct().select(
         "rep", "grp", F.col("blk").cast("string").alias("blk"), F.lit(None).cast(kind).alias("comp"))
@@ -318,13 +324,14 @@ def _across(spark: SparkSession, texts: DataFrame, large: DataFrame, comps: Data
     component are never compared, so a group that has become one component costs nothing here.
     """
     now = large.join(comps, large["rep"] == comps["v"], "left").select("rep", "grp", F.coalesce("component", "rep").alias("comp"))
+    half = ACROSS // 2
+    pure = F.col("m") > half / 4
     count = now.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("m"))
-    per_group = count.groupBy("grp").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("total")).where("comps > 1")
-    half = BLOCK // 2
+    per_group = count.groupBy("grp").agg(F.count(F.lit(1)).alias("comps"), F.sum(F.when(~pure, F.col("m"))).alias("loose")).where("comps > 1")
     sized = count.join(per_group, "grp")
-    # Large components are cut into slices of their own; small ones are dealt by hash into mixed blocks.
-    mixed = F.concat(F.lit("m"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("total") / (half / 2))).cast("string"))
-    plan = sized.select("grp", "comp", (F.col("m") > half / 4).alias("pure"), F.ceil(F.col("m") / half).alias("slices"), mixed.alias("mixed"))
+    # Large components are cut into slices of their own; small ones are dealt by hash into as many mixed blocks as they fill.
+    mixed = F.concat(F.lit("m"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("loose") / (half / 2))).cast("string"))
+    plan = sized.select("grp", "comp", pure.alias("pure"), F.ceil(F.col("m") / half).alias("slices"), mixed.alias("mixed"))
     name = F.when(F.col("pure"), F.concat(
         F.lit("p"), F.col("comp").cast("string"), F.lit(":"), F.pmod(F.xxhash64("rep", F.lit(3)), F.col("slices")).cast("string"))).otherwise(F.col("mixed"))
     blocks = scratch.keep(now.join(plan, ["grp", "comp"]).select("rep", "grp", "comp", name.alias("name"), F.when(F.col("pure"), F.col("comp")).alias("only")), "blocks")
