@@ -32,23 +32,35 @@ def _equals(term: str):
     return lambda x: x == term
 
 
-def bm25(fields: DataFrame, terms: list[str], id_col: str = "sym_id") -> DataFrame:
-    """(id, score) of every id in fields(id, text, w).
+def bm25_many(fields: DataFrame, queries: dict[str, list[str]], id_col: str = "sym_id") -> DataFrame:
+    """(query, id, score) of every id in fields(id, text, w), for each named list of terms.
 
-    The query's terms are few, so each becomes a column: one aggregation by id gives lengths and frequencies, and a
-    second one, of one row, document frequencies and the mean length. No token list is ever exploded.
+    The queries' terms are few, so each becomes a column: one aggregation by id gives lengths and frequencies, and a
+    second one, of one row, document frequencies and the mean length. Texts are read and split once for all queries,
+    and no token list is ever exploded.
     """
+    terms = list(dict.fromkeys(t for ts in queries.values() for t in ts))
     toks = fields.select(id_col, "w", subtokens(F.coalesce("text", F.lit(""))).alias("toks"))
     w = F.col("w")
     tf = [F.sum(w * F.size(F.filter("toks", _equals(t)))).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)]
     docs = keep(toks.groupBy(id_col).agg(F.sum(w * F.size("toks")).cast("double").alias("dl"), *tf), "bm25")
     seen = docs.agg(F.count(F.lit(1)).alias("s"), F.avg("dl").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))]).first()
-    score: Column = F.lit(0.0)
-    for i in range(len(terms)):
-        f, idf = F.col(f"tf{i}"), math.log((seen["s"] - seen[f"n{i}"] + 0.5) / (seen[f"n{i}"] + 0.5) + 1.0)
-        norm = f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(seen["mean"] or 1.0))
-        score = score + F.when(f > 0, F.lit(idf) * f * F.lit(K1 + 1) / norm).otherwise(0.0)
-    return docs.select(id_col, score.alias("score"))
+
+    def score_of(wanted: list[str]) -> Column:
+        score: Column = F.lit(0.0)
+        for i in map(terms.index, wanted):
+            f, idf = F.col(f"tf{i}"), math.log((seen["s"] - seen[f"n{i}"] + 0.5) / (seen[f"n{i}"] + 0.5) + 1.0)
+            norm = f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(seen["mean"] or 1.0))
+            score = score + F.when(f > 0, F.lit(idf) * f * F.lit(K1 + 1) / norm).otherwise(0.0)
+        return score
+
+    each = F.array(*[F.struct(F.lit(name).alias("query"), score_of(ts).alias("score")) for name, ts in queries.items()])
+    return docs.select(id_col, F.explode(each).alias("q")).select("q.query", id_col, "q.score")
+
+
+def bm25(fields: DataFrame, terms: list[str], id_col: str = "sym_id") -> DataFrame:
+    """(id, score) of every id in fields(id, text, w)."""
+    return bm25_many(fields, {"": terms}, id_col).select(id_col, "score")
 
 
 def ranked(scores: DataFrame, id_col: str = "sym_id") -> DataFrame:
@@ -56,25 +68,37 @@ def ranked(scores: DataFrame, id_col: str = "sym_id") -> DataFrame:
     return number_rows(scores.where("score > 0"), [F.desc("score"), F.col(id_col)], "r").withColumn("r", F.col("r") + 1)
 
 
-def cut_summary(scores: DataFrame, id_col: str = "sym_id", floor: int = FLOOR, ceiling: int = CEILING, cliff: float = CLIFF) -> DataFrame:
-    """One row: positives, kept, hit_ceiling, margin_pct, confidence.
+def cut_summaries(scores: DataFrame, queries: DataFrame, id_col: str = "sym_id", floor: int = FLOOR, ceiling: int = CEILING, cliff: float = CLIFF) -> DataFrame:
+    """A row for each of queries(query): positives, kept, hit_ceiling, margin_pct, confidence, from scores(query, id, score).
 
     Drops between neighbours in descending order are taken relative to the upper one. The first largest drop
-    below the ceiling cuts if it is a cliff, but at least `floor` are kept; else the ceiling does.
+    below the ceiling cuts if it is a cliff, but at least `floor` are kept; else the ceiling does. All queries' scores
+    are put in one order.
     """
-    places = number_rows(scores.where("score > 0").select(id_col, "score"), [F.desc("score"), F.col(id_col)], "i")
-    drops = with_previous(places, "i", "score", "before").select("i", ((F.col("before") - F.col("score")) / F.col("before")).alias("d"))
+    places = number_rows(scores.where("score > 0").select("query", id_col, "score"), ["query", F.desc("score"), F.col(id_col)], "place")
+    starts = places.groupBy("query").agg(F.min("place").alias("start"))
+    own = places.withColumn("own", F.struct("query", "score"))
+    near = with_previous(own, "place", "own", "before").join(F.broadcast(starts), "query")
+    drop = F.when(F.col("before.query") == F.col("query"), (F.col("before.score") - F.col("score")) / F.col("before.score"))
+    drops = near.select("query", (F.col("place") - F.col("start")).alias("i"), drop.alias("d"))
     top = F.max(F.when(F.col("d").isNotNull() & (F.col("i") < ceiling), F.struct("d", (-F.col("i")).alias("i"))))
-    a = drops.agg(F.count(F.lit(1)).alias("positives"), F.max("d").alias("any"), top.alias("top"))
+    met = drops.groupBy("query").agg(F.count(F.lit(1)).alias("positives"), F.max("d").alias("any"), top.alias("top"))
+    a = queries.select("query").join(met, "query", "left").withColumn("positives", F.coalesce("positives", F.lit(0).cast("bigint")))
     least = F.least(F.lit(floor), F.col("positives"))
     most = F.greatest(F.least(F.lit(ceiling), F.col("positives")), least)
     cut = F.coalesce(F.col("top.d"), F.lit(0.0)) >= F.lit(cliff)
     pct = lambda d: F.floor(F.lit(100.0) * d + F.lit(0.5)).cast("int")
     kept = F.when(F.col("positives") == 0, F.lit(floor)).when(cut, F.greatest(-F.col("top.i"), least)).otherwise(most)
     margin = F.when(cut, pct(F.col("top.d"))).when(F.coalesce("any", F.lit(0.0)) >= F.lit(cliff), pct(F.col("any"))).otherwise(F.lit(0))
-    out = a.select("positives", kept.cast("bigint").alias("kept"), (~cut).alias("hit_ceiling"), margin.alias("margin_pct"), cut.alias("cut"))
+    out = a.select("query", "positives", kept.cast("bigint").alias("kept"), (~cut).alias("hit_ceiling"), margin.alias("margin_pct"), cut.alias("cut"))
     sure = F.col("cut") | ((F.col("positives") > 0) & (F.col("positives") <= F.col("kept")))
-    return out.select("positives", "kept", "hit_ceiling", "margin_pct", F.when(sure, "high").otherwise("low").alias("confidence"))
+    return out.select("query", "positives", "kept", "hit_ceiling", "margin_pct", F.when(sure, "high").otherwise("low").alias("confidence"))
+
+
+def cut_summary(scores: DataFrame, id_col: str = "sym_id", floor: int = FLOOR, ceiling: int = CEILING, cliff: float = CLIFF) -> DataFrame:
+    """One row of cut_summaries for scores(id, score)."""
+    one = scores.sparkSession.range(1).select(F.lit("").alias("query"))
+    return cut_summaries(scores.withColumn("query", F.lit("")), one, id_col, floor, ceiling, cliff).drop("query")
 
 
 def route(names: DataFrame, queries: DataFrame) -> DataFrame:

@@ -123,12 +123,9 @@ SELECT query, avail AS positives,
 
 @query(_cliff_sql())
 def cliff_cut(spark, sf_dir):
-    out = None
-    for name, task in TASKS.items():
-        scores = lexical.bm25(_doc_fields(spark, sf_dir), lexical.terms_of(spark, task), "doc_id").withColumn("score", F.round("score", 6))
-        row = lexical.cut_summary(scores, "doc_id").select(F.lit(name).alias("query"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    scores = lexical.bm25_many(_doc_fields(spark, sf_dir), {name: lexical.terms_of(spark, task) for name, task in TASKS.items()}, "doc_id")
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in TASKS])).alias("query"))
+    return lexical.cut_summaries(scores.withColumn("score", F.round("score", 6)), names, "doc_id")
 
 
 ROUTES = ("where is goldenrod", "parseFile now please", "snake_case", "how does the cold antique part work", "parseFile", "the of", "plum Puff")
