@@ -1,4 +1,5 @@
-"""Answers as XML, priced in tokens. Rows come ordered and few; the text is put together on the driver."""
+"""Answers as XML, priced in tokens. The map is put together file by file on the executors; other answers are read row by
+row, in order, and the text itself is what the driver holds."""
 
 from __future__ import annotations
 
@@ -122,23 +123,27 @@ def map_model(index: Index, root: str) -> DataFrame:
 
 def render_map(index: Index, answer: Answer, root: str, cache: str = "rebuilt") -> str:
     """The ranked map: files in the order of their best symbol, symbols by rank in each, callees inside."""
-    rows, summary = answer[0].collect(), answer[1].first()
-    files: dict[str, list] = {}
-    for r in rows:
-        files.setdefault(r["path"], []).append(r)
-    body = ""
-    for path, symbols in files.items():
-        body += f"<f{attributes({'p': path, 'layer': symbols[0]['layer'] or None})}>"
-        for s in symbols:
-            inner = "".join(f"<c{attributes({'n': c})}/>" for c in s["callees"])
-            body += f"<{s['t']}{attributes({'n': s['n'], 'k': float(s['k'])})}" + (f">{inner}</{s['t']}>" if inner else "/>")
-        body += "</f>"
+    esc = escape_xml
+    callees = F.array_join(F.transform("callees", lambda c: F.concat(F.lit('<c n="'), esc(c), F.lit('"/>'))), "")
+    open_tag = F.concat(F.lit("<"), "t", F.lit(' n="'), esc(F.col("n")), F.lit('" k="'), F.format_string("%.4f", "k"), F.lit('"'))
+    element = F.concat(open_tag, F.when(F.size("callees") > 0, F.concat(F.lit(">"), callees, F.lit("</"), "t", F.lit(">"))).otherwise(F.lit("/>")))
+    # A file's element is put together where its rows are; the driver only joins them, file by file.
+    placed = answer[0].select("path", "layer", F.struct((-F.col("rank")).alias("down"), "sym_id", element.alias("xml")).alias("s"))
+    per_file = placed.groupBy("path", "layer").agg(F.array_sort(F.collect_list("s")).alias("s")).select(
+        F.col("s")[0]["down"].alias("down"), F.col("s")[0]["sym_id"].alias("sym_id"), F.size("s").alias("shown"),
+        F.concat(F.lit('<f p="'), esc(F.col("path")), F.lit('"'), F.when(F.col("layer") != "", F.concat(F.lit(' layer="'), esc(F.col("layer")), F.lit('"'))).otherwise(F.lit("")),
+                 F.lit(">"), F.array_join(F.transform("s", lambda x: x["xml"]), ""), F.lit("</f>")).alias("xml"))
+    summary, shown, parts = answer[1].first(), 0, []
+    for r in per_file.orderBy("down", "sym_id").select("shown", "xml").toLocalIterator():
+        shown += r["shown"]
+        parts.append(r["xml"])
+    body = "".join(parts)
     model = map_model(index, root).first()
     rate = model["bytes"] / model["tokens"] if model["tokens"] else COMPOSED_RATE
     legend = pick_legend("map", body)
 
     def build(est: int) -> str:
-        head = {"root": root, "files": summary["files"], "symbols": summary["symbols"], "edges": summary["edges"], "shown": len(rows), "est_tokens": est,
+        head = {"root": root, "files": summary["files"], "symbols": summary["symbols"], "edges": summary["edges"], "shown": shown, "est_tokens": est,
                 "pr_iters": summary["pr_iters"], "converged": summary["converged"], "cache": cache}
         return f"{legend}<r{attributes(head)}>{body}</r>"
 
@@ -150,7 +155,7 @@ def render(verb: str, index: Index, answer: Answer, root: str = ".") -> str:
     price that covers itself."""
     if verb == "map":
         return render_map(index, answer, root)
-    rows, summary = answer[0].collect(), answer[1].first()
+    rows, summary = answer[0].toLocalIterator(), answer[1].first()
     said = summary.asDict() if summary is not None else {}
     parts = []
     for r in rows:
