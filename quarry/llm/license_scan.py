@@ -265,7 +265,8 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each license notice found: id, license, start_char, end_char, reduction, n_diff, differences.
 
-    Whole texts are scanned. Null, empty and clean texts give no rows; repeated rows and null ids give theirs each;
+    Texts of any length are scanned whole, one at a time; work grows with their length and the places that may hold a
+    notice. An empty table gives no rows. Null, empty and clean texts give no rows; repeated rows and null ids give theirs each;
     notices that overlap are ranked by the bytes that their template saves, then by the fewest differences.
     A block differs from its template in at most MAX_DIFFERENCE of the words, and in one at least where the template has
     ONE_WORD words; a difference that makes another license of it (see NAMES) is none of this template. Other columns are ignored.

@@ -258,7 +258,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     is the smallest id reachable over links, itself included; kept: it is the row's own id. Null and empty texts
     have no shingles and are linked with nothing. Ids should be unique and not null: rows that repeat an id are
     taken as that many copies of its component, and a null id stays in a component of its own. An empty table gives
-    no rows. Other columns are ignored.
+    no rows. Texts of any length are compared whole; a set takes eight bytes a shingle in the task that confirms it, with
+    those of the block around it. Other columns are ignored.
     """
     small_batches(spark)
     scratch = Scratch(spark, "near-dedup")

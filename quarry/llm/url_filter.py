@@ -141,7 +141,9 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[Rule], id_col
     outside the block cascade means.
 
     Null urls and urls without :// have empty host and path. Repeated rows and null ids stay, each judged by
-    itself. A key listed with both verdicts counts as block. Other columns of pages are ignored.
+    itself. A key listed with both verdicts counts as block; of two rules of equal length that both fit, the one whose
+    string sorts last wins. Urls of any length are read whole; an empty table gives no rows. Other columns of pages are
+    ignored.
     """
     if any(r.verdict not in ("block", "allow") for r in rules):
         raise ValueError("a rule's verdict is block or allow")
