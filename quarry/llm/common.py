@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,6 +183,36 @@ class Scratch:
         delete_folder(self.spark, df._quarry_path)
 
 
+def _plain_read(df: DataFrame) -> bool:
+    """Whether df's rows are those of one set of files, with columns and rows left out at most."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.children().size() == 1:
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation"
+
+
+def number_rows(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df with `name`, a bigint of its own for each row, the same in every read.
+
+    Rows of Parquet files are numbered by their file and their place in it, so nothing is written; the files are no
+    more than their reader holds on the driver anyway. Other tables are written with their numbers.
+    """
+    path, place, file = (free_name([*df.columns, name], x) for x in ("file_path", "file_place", "file_no"))
+    if _plain_read(df):
+        try:
+            placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+        except AnalysisException:  # a format that does not count its rows
+            placed = None
+        if placed is not None:
+            files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+            if not files:
+                return df.withColumn(name, F.lit(0).cast("bigint"))
+            numbers = spark.createDataFrame(list(enumerate(files)), f"`{file}` bigint, `{path}` string")
+            met = placed.join(F.broadcast(numbers), path)
+            return met.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft(F.col(file), 40) + F.col(place)).alias(name))
+    return Scratch(spark, "rows").keep(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, component): the smallest vertex reachable over edges (a, b), for every vertex of an edge.
 

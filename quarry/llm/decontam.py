@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, lower_ascii, semi_rows, small
+from .common import Scratch, lower_ascii, number_rows, semi_rows, small
 
 WINDOW = 13
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -206,11 +206,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col
     """One row for each row of docs: id, n_words, n_hit, n_items, items (array), contaminated.
 
     A word inside any occurrence of an item's window is hit; contaminated: n_hit > 0 and 20 * n_hit >= n_words.
-    Every row is judged by its own text, whether its id is null or repeated: rows are numbered first and written.
-    Documents without words, empty tables and items without words give no hits.
+    Every row is judged by its own text, whether its id is null or repeated: rows are numbered first.
+    Documents without words, empty tables and items without words give no hits. Texts of any length are judged whole.
     """
-    rows = Scratch(spark, "decontam-rows").keep(docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rows")
+    rows = number_rows(spark, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "row")
     judged = judge(spark, rows, items, "row", "text", item_col, item_text_col)
     return judged.join(rows.select("row", F.col("id").alias("of")), "row").select(
         F.col("of").alias(id_col), "n_words", "n_hit", "n_items", "items", "contaminated")

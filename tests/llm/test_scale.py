@@ -181,6 +181,19 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
     assert sorted((r.id, r.m) for r in got.collect()) == sorted((r.id, r.m) for r in rows.join(groups, "k").collect())
 
 
+def test_rows_of_files_are_numbered_by_their_places(spark, tmp_path):
+    spark.range(0, 1000, 1, 7).select("id", F.lit("x y").alias("file no"), F.lit(1).alias("file_path")).write.parquet(f"{tmp_path}/a b.parquet")
+    read = spark.read.parquet(f"{tmp_path}/a b.parquet")
+    one = common.number_rows(spark, read.select("id", "file no", "file_path"), "n")
+    got = {r.id: r.n for r in one.collect()}
+    assert one.columns == ["id", "file no", "file_path", "n"] and len(set(got.values())) == len(got) == 1000
+    assert {r.id: r.n for r in common.number_rows(spark, read.where("id % 3 = 0"), "n").collect()} == {k: v for k, v in got.items() if k % 3 == 0}
+    # Where rows are multiplied a place is no number any more.
+    twice = read.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    for df, n in ((twice, 2000), (read.union(read), 2000), (read.join(read.select("id"), "id"), 1000), (read.where("false"), 0)):
+        assert len({r.n for r in common.number_rows(spark, df, "n").collect()}) == n
+
+
 # Token counts and output ------------------------------------------------------------------------------------------
 
 def test_a_pre_tokeniser_that_keeps_text_together_is_found_out():
