@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontam, lang_id, mixing, near_dedup, training_order
-from quarry.llm.common import Scratch, free_name, passing, table, without_keys
+from quarry.llm.common import Scratch, free_name, number_rows, passing, table, without_keys
 from quarry.llm.queries import byte_codec
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number of its own for each row, and that column's name; written, so that every read sees the same."""
+    """docs with a number of its own for each row, and that column's name."""
     row = free_name(docs.columns, "row")
-    return Scratch(spark, "rows").keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+    return number_rows(spark, docs, row), row
 
 
 def _without(spark: SparkSession, rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
