@@ -43,6 +43,17 @@ def number_symbols(defs: DataFrame) -> DataFrame:
 CROWDED = 1_000
 
 
+def _axis(df: DataFrame, name: str) -> Column:
+    """A column as whole numbers in the same order: microseconds of times, days of dates."""
+    c, kind = F.col(name), dict(df.dtypes)[name]
+    if kind == "timestamp_ntz":
+        seconds = F.unix_date(c.cast("date")).cast("bigint") * 86_400 + F.hour(c) * 3_600 + F.minute(c) * 60
+        return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    return F.unix_date(c).cast("bigint") if kind == "date" else F.floor(c).cast("bigint")
+
+
 def enclosing(points: DataFrame, spans: DataFrame, point_id: str, group: str, at: tuple[str, str], span: tuple[str, str], span_id: str, slack: int = 0,
               crowded: int = CROWDED) -> DataFrame:
     """points with `enclosing`, the innermost span of the same group that holds [at[0], at[1]]; null without one.
@@ -52,18 +63,19 @@ def enclosing(points: DataFrame, spans: DataFrame, point_id: str, group: str, at
     that it touches: an equi join whose rows grow with what really overlaps.
     """
     end = F.col(span[1]) + F.lit(slack) if slack else F.col(span[1])
-    s = spans.select(F.col(group).alias("_g"), F.col(span[0]).alias("_s"), end.alias("_e"), F.col(span_id).alias("_id")).where("_e >= _s")
-    per = s.groupBy("_g").agg(F.count(F.lit(1)).alias("m"), F.greatest(F.lit(1), F.ceil(F.avg(F.col("_e") - F.col("_s"))) + 1).cast("bigint").alias("_w"))
+    last = F.col("_ne") + F.lit(slack) if slack else F.col("_ne")
+    s = spans.select(F.col(group).alias("_g"), F.col(span[0]).alias("_s"), end.alias("_e"), _axis(spans, span[0]).alias("_ns"), _axis(spans, span[1]).alias("_ne"),
+                     F.col(span_id).alias("_id")).withColumn("_ne", last).where("_e >= _s")
+    width = F.greatest(F.lit(1), F.avg(F.col("_ne") - F.col("_ns")) + 1).cast("bigint")
     # One row a group: only crowded ones are told apart.
-    wide = per.where(F.col("m") > crowded).select("_g", "_w")
-    found = []
-    p = points.select(point_id, F.col(group).alias("_pg"), F.col(at[0]).alias("_p0"), F.col(at[1]).alias("_p1"))
+    wide = s.groupBy("_g").agg(F.count(F.lit(1)).alias("m"), width.alias("_w")).where(F.col("m") > crowded).select("_g", "_w")
+    p = points.select(point_id, F.col(group).alias("_pg"), F.col(at[0]).alias("_p0"), F.col(at[1]).alias("_p1"), _axis(points, at[0]).alias("_n"))
     inside = (F.col("_s") <= F.col("_p0")) & (F.col("_e") >= F.col("_p1"))
-    found.append(p.join(s.join(wide, "_g", "left_anti"), (F.col("_pg") == F.col("_g")) & inside))
-    dealt = s.join(wide, "_g").withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / F.col("_w")), F.floor(F.col("_e") / F.col("_w")))))
-    own = p.join(wide.select(F.col("_g").alias("_pg"), F.col("_w").alias("_pw")), "_pg").withColumn("_pb", F.floor(F.col("_p0") / F.col("_pw")))
-    found.append(own.join(dealt, (F.col("_pg") == F.col("_g")) & (F.col("_pb") == F.col("_b")) & inside))
-    hit = found[0].select(point_id, "_s", "_id").unionByName(found[1].select(point_id, "_s", "_id"))
+    few = p.join(s.join(wide, "_g", "left_anti"), (F.col("_pg") == F.col("_g")) & inside)
+    dealt = s.join(wide, "_g").withColumn("_b", F.explode(F.sequence(F.floor(F.col("_ns") / F.col("_w")), F.floor(F.col("_ne") / F.col("_w")))))
+    own = p.join(wide.select(F.col("_g").alias("_pg"), F.col("_w").alias("_pw")), "_pg").withColumn("_pb", F.floor(F.col("_n") / F.col("_pw")))
+    many = own.join(dealt, (F.col("_pg") == F.col("_g")) & (F.col("_pb") == F.col("_b")) & inside)
+    hit = few.select(point_id, "_s", "_id").unionByName(many.select(point_id, "_s", "_id"))
     best = hit.groupBy(point_id).agg(F.max_by("_id", F.struct("_s", "_id")).alias("enclosing"))
     return points.join(best, point_id, "left")
 
