@@ -498,7 +498,7 @@ def amp_depth2(spark, sf_dir):
 @query()
 def amp_whole(spark, sf_dir):
     """amp_depth2's parts without a depth: all that reaches each of them."""
-    edges = keep(part_edges(spark, sf_dir), "edges")
+    edges = keep(part_edges(spark, sf_dir).select("src", "dst"), "edges")
     origins = _table(spark, sf_dir, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("sym_id"))
     return graph.reach_sizes(edges, origins).select(F.col("origin").alias("part"), "amp")
 

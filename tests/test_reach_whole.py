@@ -41,3 +41,20 @@ def test_impact_whole(spark, parts):
     folder, pairs, _ = parts
     got = {r.part: r.level for r in entry.queries()["impact_whole"](spark, folder).collect()}
     assert got == {v: n for v, n in reaching(pairs, 1).items() if v != 1} and max(got.values()) == 11
+
+
+def test_cycles_are_merged_and_chunks_go_in_turns(spark, monkeypatch):
+    """Two cycles of 100 in a row with a tail: no edge within a cycle is left, and any turn size counts alike."""
+    from quarry.operators import graph
+
+    ring = lambda a: [(a + i, a + (i + 1) % 100) for i in range(100)] + [(a + i, a + (i * 7 + 3) % 100) for i in range(100)]
+    pairs = {p for p in ring(0) + ring(100) if p[0] != p[1]} | {(50, 150), (199, 200)} | {(200, i) for i in range(201, 281)}
+    edges = spark.createDataFrame(sorted(pairs), "src bigint, dst bigint")
+    left, groups = graph.merge_cycles(edges)
+    where = {r.sym_id: r.group for r in groups.collect()}
+    assert len(where) == 200 and len({where[i] for i in range(100)}) == len({where[i] for i in range(100, 200)}) == 1
+    assert left.count() == 82
+    monkeypatch.setattr(graph, "ROWS_A_TURN", 1)
+    origins = spark.createDataFrame([(i,) for i in range(282)], "sym_id bigint")
+    got = {r.origin: r.amp for r in graph.reach_sizes(edges, origins).collect()}
+    assert got == {o: len(reaching(pairs, o)) for o in range(282)} and got[5] == 100 and got[150] == 200 and got[280] == 201 and got[281] == 0
