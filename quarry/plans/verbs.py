@@ -77,6 +77,17 @@ def per_file(index: Index, rows: DataFrame, value) -> DataFrame:
     return out.select("file_id", "r.*")
 
 
+def line_of(index: Index, places: DataFrame, key: str, at: str) -> DataFrame:
+    """places(file_id, ...), one row a `key`, with the line of the byte `at`: files that hold places are cut into lines
+    once, and places meet the lines' spans, so no place reads its file's content again."""
+    held = index.files.join(places.select("file_id").distinct(), "file_id", "left_semi")
+    # A character a byte, so that offsets are right whatever the bytes are.
+    plain = F.regexp_replace(F.decode("content", "ISO-8859-1"), "[\r\u0080-\u00ff]", ".")
+    cut = lines(held.select("file_id", plain.alias("content")))
+    spans = cut.select("file_id", "start_byte", (F.col("start_byte") + F.length("text")).alias("end_byte"), F.col("line").cast("bigint").alias("line"))
+    return relations.enclosing(places, spans, key, "file_id", (at, at), ("start_byte", "end_byte"), "line").withColumnRenamed("enclosing", "line")
+
+
 def grep(index: Index, term: str) -> Answer:
     """Lines that hold a literal text, with the innermost definition around the first place in each. The summary lists
     the enclosing names in the order of their first hits, with the callers of the first definition of the name."""
@@ -133,9 +144,9 @@ def uses(index: Index, selector: str) -> Answer:
     sites = index.refs.where(F.col("name") == name)
     placed = relations.enclosing(sites, _spans(index), "ref_id", "file_id", ("start_byte", "end_byte"), ("start_byte", "end_byte"), "sym_id")
     inside = index.symbols.select(F.col("sym_id").alias("enclosing"), F.col("name").alias("in"))
-    lined = per_file(index, placed.select("file_id", "ref_id", "start_byte", "enclosing"), lambda content, r: T.line_of_byte(content, r["start_byte"].cast("int")))
+    lined = line_of(index, placed.select("file_id", "ref_id", "start_byte", F.col("enclosing").alias("sym")), "ref_id", "start_byte").withColumnRenamed("sym", "enclosing")
     rows = (lined.join(index.files.select("file_id", "path"), "file_id").join(inside, "enclosing", "left").select(
-        F.lit("call").alias("role"), "path", F.col("value").alias("line"), "in",
+        F.lit("call").alias("role"), "path", "line", "in",
         F.col("enclosing").alias("in_id"), T.row_tier(F.col("path")).alias("tier"), "start_byte").orderBy("tier", "path", "start_byte"))
     n = F.count(F.lit(1))
     summary = defs.agg(n.alias("defs"), F.when(n == 0, 1).otherwise(0).alias("external")).crossJoin(sites.agg(n.alias("count"))).crossJoin(_unsettled(index))

@@ -145,3 +145,17 @@ def test_index_cache(spark, tmp_path):
     for f in (tmp_path / "index").rglob("symbols/*.parquet"):
         f.write_bytes(f.read_bytes()[:20])
     assert index and state() == "rebuilt"
+
+
+def test_uses_of_many_places_in_one_file(spark):
+    """3,000 places in a file with bytes that are no UTF-8: it is read once, not once a place, and lines count bytes."""
+    import time
+
+    from quarry.plans.incremental import index_of
+
+    text = b"package a\r\n\r\n// \xff\xfe \xc3\xa9\r\n" + b"".join(b"func S%d() {\n\tMissing()\n\tMissing()\n}\n" % i for i in range(1500))
+    files = spark.createDataFrame([(0, "src/a.go", len(text), bytearray(text), "go")], "file_id int, path string, n_bytes bigint, content binary, lang string")
+    index, began = index_of(files), time.time()
+    got = verbs.uses(index, "Missing")[0].select("line", "in", "path").collect()
+    assert sorted((r["line"], r["in"]) for r in got) == sorted((5 + 4 * i + j, f"S{i}") for i in range(1500) for j in (0, 1))
+    assert time.time() - began < 60
