@@ -14,6 +14,7 @@ whole. Either way the counts are the library's own of the whole text (tests comp
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -44,6 +45,33 @@ def parts_at_white(pieces_of: Callable[[str], list[tuple[int, int]]]) -> bool:
     return True
 
 
+# The normalisation that plain texts are spared, and the first step of a pre-tokeniser that drops all white space.
+SPARED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+DROPS_WHITE = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+# Latin, Cyrillic and general punctuation: no character of these composes with another one of them.
+PLAIN = [*range(0x300), *range(0x400, 0x482), *range(0x48A, 0x530), *range(0x2010, 0x2028)]
+
+
+def spared(path: str, library):
+    """(a tokeniser without its normaliser, a pattern of characters that it must not be given), or None.
+
+    NFC leaves texts of PLAIN characters alone, Python lower-cases them like the library, and white space is dropped
+    later. Each character is tried out; those that the library makes something else of are not given.
+    """
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    steps = said.get("pre_tokenizer") or {}
+    if (said.get("normalizer") or {}).get("normalizers") != SPARED or (steps.get("pretokenizers") or [None])[0] != DROPS_WHITE:
+        return None
+    from tokenizers import Tokenizer
+
+    alike = [c for c in map(chr, PLAIN) if library.normalizer.normalize_str(c) == c.lower() and len(c.lower()) == 1 or c in " \t\n\r"]
+    bare = Tokenizer.from_str(json.dumps(said | {"normalizer": None}))
+    bare.no_truncation()
+    bare.no_padding()
+    return bare, re.compile("[^" + "".join(map(re.escape, alike)) + "]")
+
+
 class JsonPart:
     """The tokens of a chunk, asked for only where they are needed."""
 
@@ -98,15 +126,33 @@ class JsonCodec:
         self.library.no_truncation()
         self.library.no_padding()
         self.cuttable = self.library.pre_tokenizer is not None and parts_at_white(self._pieces)
+        self.spared = spared(path, self.library)
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+
+    def _encoded(self, texts: list[str], fast: bool) -> list:
+        """The library's encodings, by the tokeniser without a normaliser where that gives the same."""
+        encode = lambda library: library.encode_batch_fast if fast else library.encode_batch
+        out, plain, rest = [None] * len(texts), [], range(len(texts))
+        if self.spared is not None:
+            bare, strange = self.spared
+            low = [t.lower() for t in texts]
+            # Added tokens are looked for before texts are lower-cased.
+            plain = [i for i, t in enumerate(texts) if not strange.search(t) and not any(a in low[i] for a in self.added)]
+            rest = sorted(set(rest) - set(plain))
+            for i, e in zip(plain, encode(bare)([low[i] for i in plain], add_special_tokens=False), strict=True):
+                out[i] = e
+        for i, e in zip(rest, encode(self.library)([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e
+        return out
 
     def _pieces(self, text: str) -> list[tuple[int, int]]:
         return [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode(self, texts: list[str]) -> list[JsonPart]:
-        return [JsonPart(e, t) for e, t in zip(self.library.encode_batch(texts, add_special_tokens=False), texts, strict=True)]
+        return [JsonPart(e, t) for e, t in zip(self._encoded(texts, False), texts, strict=True)]
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(e) for e in self._encoded(texts, True)]
 
 
 def _splice(text: str, a, a_at: int, b, b_at: int, since: int, until: int) -> int | None:
